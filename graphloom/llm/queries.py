@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import cut_lineage, table
-from . import groups, markup, mix, pack, split
+from . import groups, markup, mix, pack, split, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -71,6 +72,28 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mix.mixture_report(cut_lineage(mix.mixture(docs, targets)), docs, targets)
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.scores(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexual passage."""
+    return _scores(spark, d).where("flagged").select("doc_id").distinct()
+
+
+@query
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score of every document."""
+    return _scores(spark, d).select("doc_id", F.round("score", 6).alias("score"), "flagged")
+
+
+@query
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of such documents per source."""
+    return toxicity.rates(_scores(spark, d))
+
+
 ORACLES["p3_found"] = r"""
 WITH latest AS (SELECT article_id, tokens FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY ingested_at DESC) AS rn FROM articles WHERE article_id IS NOT NULL) WHERE rn = 1),
 sent AS (SELECT article_id, unnest(tokens) AS s, unnest(range(len(tokens))) AS sent_no FROM latest),
