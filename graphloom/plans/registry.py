@@ -1,6 +1,6 @@
 """All queries of the core, by name."""
 
-from . import general
+from . import general, reference
 
-QUERIES = {**general.QUERIES}
-ORACLES = {**general.ORACLES}
+QUERIES = {**reference.QUERIES, **general.QUERIES}
+ORACLES = {**reference.ORACLES, **general.ORACLES}
