@@ -81,14 +81,19 @@ def _amounts(x: pd.Series, long: pd.Series, short: pd.Series) -> pd.Series:
     return pd.Series([one(*t) for t in zip(x, long, short)])
 
 
+def amount_value(amount: Column) -> Column:
+    """Plain decimal notation as DOUBLE; null otherwise (a bare cast would also take type suffixes such as F)."""
+    return F.when(amount.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), amount.try_cast("double"))
+
+
 def quantity_aliases(amount: Column, label: Column, symbol: Column) -> Column:
     """Four precisions by long and short unit name; the bare number where the unit is none or unknown (null label)."""
-    return _amounts(amount.try_cast("double"), label, symbol)
+    return _amounts(amount_value(amount), label, symbol)
 
 
 def literal_id(kind: Column, value: Column) -> Column:
     """Node id of a time (``T::precision::time``) or quantity (``V::amount::unit``); null for all else."""
-    amount = value["amount"].try_cast("double")
+    amount = amount_value(value["amount"])
     return F.when((kind == "time") & value["time"].isNotNull(), F.concat(F.lit("T::"), value["precision"].cast("string"), F.lit("::"), value["time"])).when(
         (kind == "quantity") & amount.isNotNull(), F.concat(F.lit("V::"), fixed4(amount), F.lit("::"), F.coalesce(value["unit"], F.lit("1")))
     )

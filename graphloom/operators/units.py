@@ -56,8 +56,8 @@ EXTRA_ALIASES = {
 #: blank, no-break, figure, thin and narrow no-break space
 _SPACES = " \\u00a0\\u2007\\u2009\\u202f"
 _BLANK = rf"[\s{_SPACES}]"
-_NUMBER = rf"[-+\u2212]?(?:\d{{1,3}}(?:[{_SPACES}]\d{{3}})+(?!\d)|\d(?:[\d.,]*\d)?)(?:[.,]\d+)?(?:[eE][-+]?\d+)?"
-_COMPONENT = rf"({_NUMBER}){_BLANK}*((?:[^\d]|(?<=[A-Za-z])[23](?![0-9A-Za-z]))*)"
+_NUMBER = rf"[-+\u2212]?(?:\d{{1,3}}(?:[{_SPACES}]\d{{3}}){{1,12}}(?!\d)|\d(?:[\d.,]*\d)?)(?:[.,]\d+)?(?:[eE][-+]?\d+)?"
+_COMPONENT = rf"({_NUMBER}){_BLANK}*((?:[^\d]++|(?<=[A-Za-z])[23](?![0-9A-Za-z])){{0,20}}+)"
 #: words that may follow a number and its unit without naming a unit
 _NOISE = r"(?i)\b(?:in the register|tall|high|long|wide|deep|heavy|surveyed|estimated|estimate|approx|about|and)\b"
 

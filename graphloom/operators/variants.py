@@ -29,6 +29,7 @@ VARIANTS = {
     ("labels", "list<term>"): "label_listed",
     ("aliases", "map<list<term>>"): "alias_terms",
     ("aliases", "map<list<text>>"): "alias_texts",
+    ("aliases", "map<list<term|text>>"): "alias_mixed",
     ("aliases", "map<term>"): "alias_single",
     ("aliases", "map<text>"): "alias_single",
     ("aliases", "list<term>"): "alias_listed",
@@ -40,7 +41,7 @@ VARIANTS = {
     ("qualifiers", "list<snak>"): "qualifier_listed",
 }
 #: states that may stand beside each other in one map (a field in more than one shape within one record)
-_MIXED = {"aliases": {"list<term>", "list<text>", "term", "text"}, "claims": {"list<statement>", "statement"}, "qualifiers": {"list<snak>", "snak"}, "labels": {"term", "text"}}
+_MIXED = {"aliases": {"list<term>", "list<text>", "list<term|text>", "term", "text"}, "claims": {"list<statement>", "statement"}, "qualifiers": {"list<snak>", "snak"}, "labels": {"term", "text"}}
 
 
 class TreeAutomaton:

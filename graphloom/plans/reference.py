@@ -27,9 +27,10 @@ def query(sql: str | None = None):
 
 
 def latest(df: DataFrame, at: str) -> DataFrame:
-    """One row per article: the latest, of equally late ones the greatest by content."""
+    """One row per article: the latest, of equally late ones the one with the longest lists."""
     cols = [c for c in df.columns if c != "article_id"]
-    rows = df.where("article_id IS NOT NULL").groupBy("article_id").agg(F.max_by(F.struct(*cols), F.struct(at, F.xxhash64(*cols).alias("h"))).alias("x"))
+    sizes = [F.coalesce(F.size(c), F.lit(-1)).alias(f"n_{c}") for c in ("nel", "clusters", "entities", "annotations") if c in cols]
+    rows = df.where("article_id IS NOT NULL").groupBy("article_id").agg(F.max_by(F.struct(*cols), F.struct(at, *sizes, F.xxhash64(*cols).alias("h"))).alias("x"))
     return rows.select("article_id", "x.*")
 
 
@@ -57,10 +58,10 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
     return known.unionByName(core).unionByName(props).groupBy("id").agg(F.min("name").alias("name"))
 
 
-_LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY {at} DESC) AS rn FROM {t} WHERE article_id IS NOT NULL) WHERE rn = 1"
-_ANN = _LATEST.format(at="loaded_at", t="annotations")
-_ANN_B = _LATEST.format(at="loaded_at", t="annotations_b")
-_ART = _LATEST.format(at="ingested_at", t="articles")
+_LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY {at} DESC, {more}) AS rn FROM {t} WHERE article_id IS NOT NULL) WHERE rn = 1"
+_ANN = _LATEST.format(at="loaded_at", t="annotations", more="coalesce(len(annotations), -1) DESC")
+_ANN_B = _LATEST.format(at="loaded_at", t="annotations_b", more="coalesce(len(annotations), -1) DESC")
+_ART = _LATEST.format(at="ingested_at", t="articles", more="coalesce(len(nel), -1) DESC, coalesce(len(clusters), -1) DESC, coalesce(len(entities), -1) DESC")
 _EDGE = "SELECT DISTINCT edge_id, subject, ord, prop, CASE WHEN value.type = 'wikibase-entityid' THEN value.value.id END AS object FROM relation_db WHERE subject IS NOT NULL"
 _MENTION = f"SELECT article_id, flatten(list_transform(tokens, lambda s: coalesce(s, []))) AS flat, unnest(annotations) AS a, unnest(range(len(annotations))) AS idx FROM ({_ANN})"
 _PAIR = f"SELECT article_id, flat, idx, a, unnest(a.relation[1:least(len(a.relation), len(a.parent_id))]) AS relation, unnest(a.parent_id[1:least(len(a.relation), len(a.parent_id))]) AS parent, unnest(range(least(len(a.relation), len(a.parent_id)))) AS pair_no FROM ({_MENTION})"
