@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -342,17 +342,17 @@ def text_frequency(docs: DataFrame, sample: Sample) -> dict[str, int]:
     """In how many of all texts each wanted feature stands. Counts of a batch are added up before the shuffle."""
     held = docs.sparkSession.sparkContext.broadcast((sample.scorer, sample.wanted))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, wanted = held.value
         total: Counter = Counter()
         for b in batches:
-            for t in b["text"]:
+            for t in b.column(0).to_pylist():
                 if t:
                     total.update(s.text_features(t, wanted))
-        yield pd.DataFrame({"f": list(total), "n": list(total.values())})
+        yield pa.RecordBatch.from_pydict({"f": list(total), "n": list(total.values())}, pa.schema([("f", pa.string()), ("n", pa.int64())]))
 
     # as many rows as wanted features, which follow the labelled sample and not the corpus
-    return {r["f"]: r["n"] for r in docs.select("text").mapInPandas(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
+    return {r["f"]: r["n"] for r in docs.select("text").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_texts: int = 10_000) -> tuple[list[str], list[bool]]:
@@ -369,13 +369,13 @@ def scores(docs: DataFrame, labels: DataFrame, max_texts: int = 10_000) -> DataF
     scorer = fit(sample, text_frequency(docs, sample), docs.count())
     model = docs.sparkSession.sparkContext.broadcast(scorer)  # its size follows max_texts, not the corpus
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = model.value
         for b in batches:
-            z = [s.score(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": z, "flagged": [x >= s.threshold for x in z]})
+            z = [s.score(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.float64()), pa.array([x >= s.threshold for x in z], pa.bool_())], names=["doc_id", "source", "score", "flagged"])
 
-    return docs.select("doc_id", "source", "text").mapInPandas(score, "doc_id long, source string, score double, flagged boolean")
+    return docs.select("doc_id", "source", "text").mapInArrow(score, "doc_id long, source string, score double, flagged boolean")
 
 
 def rates(scored: DataFrame) -> DataFrame:
