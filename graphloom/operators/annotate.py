@@ -205,6 +205,8 @@ def graph_edges(relation: DataFrame, known: DataFrame, same_as: str = "P395") ->
 def name_table(aliases: DataFrame, edges: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """(id, ord, name): tokens of all usable names of entities and literals."""
     ents = aliases.select("id", F.posexplode("aliases").alias("ord", "alias"))
+    # a literal is written out once, however many edges lead to it
+    edges = edges.where("kind <> 'wikibase-entityid'").dropDuplicates(["child"])
     times = edges.where("kind = 'time'").select("child", F.posexplode(time_aliases(F.col("v.time"), F.col("v.precision"))).alias("ord", "alias"))
     q = edges.where("kind = 'quantity'").select("child", "v.amount", F.regexp_extract("v.unit", r"([^/]*)$", 1).alias("unit"))
     if units is not None:
@@ -212,7 +214,7 @@ def name_table(aliases: DataFrame, edges: DataFrame, units: DataFrame | None = N
     else:
         q = q.withColumn("label", F.lit(None).cast("string")).withColumn("symbol", F.lit(None).cast("string"))
     amounts = q.select("child", F.posexplode(quantity_aliases(F.col("amount"), F.col("label"), F.col("symbol"))).alias("ord", "alias"))
-    lits = times.unionByName(amounts).withColumnRenamed("child", "id").distinct()
+    lits = times.unionByName(amounts).withColumnRenamed("child", "id")
     rows = ents.unionByName(lits).select("id", "ord", alias_tokens("alias").alias("name"))
     return rows.where(~bad_alias("name"))
 
@@ -242,15 +244,16 @@ def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: Dat
     toks = known_docs.select("doc", "tokens")
     pair = F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(1))), lambda i: _first_words(F.slice("tokens", i, 2)))
     words = toks.where("size(tokens) > 0").select("doc", F.explode(F.array_distinct(F.concat("tokens", pair))).alias("w")).where("w IS NOT NULL")
-    evidence = words.select("doc", F.concat(F.lit("w:"), "w").alias("e")).unionByName(stamped.select("doc", F.concat(F.lit("i:"), "id").alias("e")))
+    # read again at every hop, like the lookup below, so both are made once
+    evidence = cut_lineage(words.select("doc", F.concat(F.lit("w:"), "w").alias("e")).unionByName(stamped.select("doc", F.concat(F.lit("i:"), "id").alias("e"))))
     known = aliases.select("id").distinct()
-    edge = graph_edges(relation, known, opt.same_as)
-    names = cut_lineage(name_table(aliases, edge, units))
-    edge = cut_lineage(edge.select("subject", "ord", "prop", "child").distinct())
+    full = cut_lineage(graph_edges(relation, known, opt.same_as))
+    names = cut_lineage(name_table(aliases, full, units))
+    edge = full.select("subject", "ord", "prop", "child").distinct()
     fronts = names.select("id", F.explode(F.array(_first_words(F.col("name")), _first_words(capitalize_tokens("name")))).alias("w")).distinct()
     by_name = edge.join(fronts.withColumnRenamed("id", "child"), "child").select("subject", "ord", "prop", "child", F.concat(F.lit("w:"), "w").alias("e"))
     by_id = edge.select("subject", "ord", "prop", "child", F.concat(F.lit("i:"), "child").alias("e"))
-    lookup = by_name.unionByName(by_id)
+    lookup = cut_lineage(by_name.unionByName(by_id))
     hubs = edge.groupBy("subject").count().where(F.col("count") > hot_degree).select("subject")
     cold, hot = lookup.join(hubs, "subject", "left_anti"), lookup.join(hubs, "subject", "left_semi")
     # Names and edges reached from the linked ids, hop by hop, as far as the document's words lead.

@@ -16,8 +16,9 @@ CLUSTERS = "array<array<struct<start:int,end:int>>>"
 
 def dump_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     """Lines of an entity dump as clean JSON: brackets and trailing commas dropped, unreadable lines left out."""
-    text = F.regexp_replace(F.trim(F.col(column)), r"^\[(?=\s*(?:\{|$))|,?\s*\]?$", "")
-    out = lines.withColumn(column, F.trim(text))
+    # an entity begins and ends with a brace, so only the dump's own signs can be cut off
+    clean = F.rtrim(F.ltrim(F.col(column), F.lit("[ \t\r\n")), F.lit("], \t\r\n"))
+    out = lines.withColumn(column, clean)
     return out.where(F.col(column).startswith("{") & F.try_parse_json(F.col(column)).isNotNull())
 
 
