@@ -224,6 +224,21 @@ def _first_words(tokens):
     return F.array_join(F.slice(tokens, F.lit(1), F.lit(2)), " ")
 
 
+def longest_names(docs: DataFrame, aliases: DataFrame, key: str = "article_id") -> DataFrame:
+    """(key, pos, words, id): where names (id, alias) stand in documents (key, flat), the longest at each place.
+
+    Names are tokenised as documents are, whatever their length and signs; of equal names the least id counts.
+    Runs of tokens are made only where a name's first word stands, and only as long as such names are.
+    """
+    names = aliases.select("id", alias_tokens("alias").alias("name")).where("size(name) > 0").groupBy("name").agg(F.min("id").alias("id"))
+    first = names.groupBy(F.get("name", F.lit(0)).alias("token")).agg(F.collect_set(F.size("name")).alias("lengths"))
+    places = docs.select(key, F.posexplode("flat").alias("pos", "token")).join(first, "token")
+    places = places.groupBy(key).agg(F.collect_list(F.struct("pos", "lengths")).alias("places"))
+    runs = docs.join(places, key).select(key, "flat", F.explode("places").alias("p")).select(key, "flat", "p.pos", F.explode("p.lengths").alias("words"))
+    runs = runs.where(F.col("pos") + F.col("words") <= F.size("flat")).select(key, "pos", "words", F.slice("flat", F.col("pos") + 1, F.col("words")).alias("name"))
+    return runs.join(names, "name").groupBy(key, "pos").agg(F.max("words").alias("words"), F.max_by("id", "words").alias("id"))
+
+
 def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: DataFrame, units: DataFrame | None = None, opt: Options = Options(), key: str = "article_id", hot_degree: int = 1000, max_hops: int = 20) -> DataFrame:
     """(key, annotations) of documents with title, tokens, entities, nel and clusters; ``key`` must be unique.
 

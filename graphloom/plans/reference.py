@@ -379,16 +379,9 @@ big AS (SELECT article_id, pos, token, lead(token) OVER (PARTITION BY article_id
 SELECT article_id, CAST(pos AS INTEGER) AS pos, CAST(max(len(w)) AS INTEGER) AS words, min_by(id, (-len(w), id)) AS id FROM big JOIN n
 ON (len(w) = 3 AND w[1] = token AND w[2] = t2 AND w[3] = t3) OR (len(w) = 2 AND w[1] = token AND w[2] = t2) GROUP BY ALL""")
 def alias_match_longest(spark: SparkSession, d: str) -> DataFrame:
-    """JN10, SRT7: where names of two or three words stand, the longest at each place."""
-    n = table(spark, d, "alias_db").select("id", F.explode("aliases").alias("alias")).where(F.col("alias").rlike(r"^[\p{L}\p{N}]+( [\p{L}\p{N}]+){1,2}$")).distinct()
-    n = n.withColumn("words", F.size(F.split("alias", " ")))
-    toks = _articles(spark, d).select("article_id", text.flatten_tokens("tokens").alias("flat")).where("size(flat) > 1")
-    grams = toks.select("article_id", "flat", F.explode(F.sequence(F.lit(0), F.size("flat") - 2)).alias("pos"))
-    grams = grams.select("article_id", "pos", F.explode(F.array(F.slice("flat", F.col("pos") + 1, 2), F.slice("flat", F.col("pos") + 1, 3))).alias("g"))
-    grams = grams.where(~F.exists("g", lambda t: t.isNull() | t.contains(" "))).select("article_id", "pos", F.size("g").alias("words"), F.array_join("g", " ").alias("alias")).distinct()
-    hit = grams.join(n, ["alias", "words"])
-    best = F.min(F.struct((-F.col("words")).alias("w"), "id"))
-    return hit.groupBy("article_id", "pos").agg(best.alias("b")).select("article_id", "pos", (-F.col("b.w")).alias("words"), "b.id")
+    """JN10, SRT7: where names of any length stand, the longest at each place. The SQL knows plain names of two or three words only."""
+    names = table(spark, d, "alias_db").select("id", F.explode("aliases").alias("alias"))
+    return annotate.longest_names(_articles(spark, d).select("article_id", text.flatten_tokens("tokens").alias("flat")), names)
 
 
 @query()

@@ -119,6 +119,28 @@ def test_annotator_on_tables_equals_whole_graph(spark):
         assert some > 5 and got[77] == [] and got[78] == []
 
 
+def test_longest_names_of_any_length(spark):
+    """One word, more than three, and signs; against all runs of all lengths."""
+    rng = random.Random(3)
+    words = ["A", "B", "C", "&", "."]
+    names = [("Q1", "A"), ("Q2", "A B"), ("Q3", "A B C A B"), ("Q4", "B & C"), ("Q0", "B & C"), ("Q5", "C."), ("Q6", "B C A"), ("Q7", ""), ("Q8", None)]
+    docs = [(i, [rng.choice(words) for _ in range(60)]) for i in range(20)] + [(98, []), (99, ["A", "B", "C", "A", "B", None, "C", "."])]
+    got = annotate.longest_names(spark.createDataFrame(docs, "article_id long, flat array<string>"), spark.createDataFrame(names, "id string, alias string")).collect()
+    known = {}
+    for i, n in names:
+        if n:
+            t = tuple(n.replace(".", " .").split())
+            known[t] = min(i, known.get(t, i))
+    want = set()
+    for d, flat in docs:
+        for at in range(len(flat)):
+            fit = [n for n in range(1, len(flat) - at + 1) if tuple(flat[at : at + n]) in known]
+            if fit:
+                want.add((d, at, max(fit), known[tuple(flat[at : at + max(fit)])]))
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert {r["words"] for r in got} == {1, 2, 3, 5} and (99, 0, 5, "Q3") in want and (99, 6, 2, "Q5") in want
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("robert plant x", ["mcDONALD", "Farm"], [["a"], None, ["b", "c"], ["d"]]), ("", [], None), (None, None, [])], "t string, w array<string>, s array<array<string>>")
     r = df.select(text.format_wikilink("t").alias("a"), text.redirect_title("t").alias("b"), text.capitalize_tokens("w").alias("c"), text.sentence_windows("s", 3).alias("d"), text.sentence_offsets("s").alias("e"), text.flatten_tokens("s").alias("f")).collect()
