@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from ..sources.readers import dump_lines
 
 # Kinds of claims that say nothing about other entities.
 BAD_DATATYPES = ["external-id", "url", "commonsMedia", "globecoordinate"]
-_SNAK = "struct<datatype:string,datavalue:struct<type:string,value:string>>"
-_CLAIMS = f"map<string,array<struct<mainsnak:{_SNAK},qualifiers:map<string,array<{_SNAK}>>>>>"
+_SNAK = "struct<property:string,datatype:string,datavalue:struct<type:string,value:string>>"
+_CLAIM = f"struct<mainsnak:{_SNAK},qualifiers:string>"
+_BLANK = " \t\r\n"
 REVERSE = "R:"
 
 
@@ -45,28 +48,50 @@ def _good(snak: Column) -> Column:
     return snak["datavalue"].isNotNull() & ~F.coalesce(snak["datatype"].isin(BAD_DATATYPES), F.lit(False)) & ~F.coalesce(foreign, F.lit(False))
 
 
+def _entities(lines: DataFrame) -> DataFrame:
+    """(line_no, part, subject, claims): the entities of every line, those of a wrapper one by one; claims as JSON."""
+    rows = dump_lines(lines)
+    inner = F.ltrim(F.when(F.col("line").contains('"entities"'), _line("$.entities")), F.lit(_BLANK))
+    none = F.lit(None).cast("string")
+    listed = F.transform(F.from_json(inner, "array<string>"), lambda x: F.struct(none.alias("key"), x.alias("value")))
+    keyed = F.transform(F.map_entries(F.from_json(inner, "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    own = F.array(F.struct(none.alias("key"), F.col("line").alias("value")))
+    rows = rows.select("line_no", F.posexplode(F.when(inner.isNull(), own).when(inner.startswith("["), listed).otherwise(keyed)).alias("part", "e"))
+    name = F.get_json_object("e.value", "$.id")
+    return rows.select("line_no", "part", F.coalesce(F.nullif(name, F.lit("")), "e.key", name).alias("subject"), F.get_json_object("e.value", "$.claims").alias("claims"))
+
+
+def _by_property(field: Column, schema: str, prop: Callable[[Column], Column]) -> Column:
+    """[(key, value)] of a JSON field, value an array: a map of lists, of single elements or of both, or one list of elements that name their property.
+
+    Every element is read on its own, so one of an unknown shape takes no other along.
+    """
+    field = F.ltrim(field, F.lit(_BLANK))
+    read = lambda x: F.from_json(x, schema)
+    some = lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))
+    keyed = F.transform(F.map_entries(F.from_json(field, "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), F.transform(some(e["value"]), read).alias("value")))
+    listed = F.transform(F.transform(F.from_json(field, "array<string>"), read), lambda x: F.struct(prop(x).alias("key"), F.array(x).alias("value")))
+    return F.when(field.startswith("["), F.filter(listed, lambda e: e["key"].isNotNull())).otherwise(keyed)
+
+
 def edges(lines: DataFrame, allowed: DataFrame | None = None, properties: DataFrame | None = None) -> DataFrame:
     """(line_no, subject, ord, prop, value_type, value): claims, each followed by its qualifiers (``P:Q``).
 
     ``allowed`` (id) restricts subjects, ``properties`` (prop) main properties. A claim that is left out takes
-    its qualifiers along. Claims that aren't grouped by property give no edge.
+    its qualifiers along. Claims and qualifiers are read in every shape of the dump (``_by_property``).
     """
-    rows = dump_lines(lines).select("line_no", _line("$.id").alias("subject"), F.from_json(_line("$.claims"), _CLAIMS).alias("claims")).where("subject IS NOT NULL")
+    rows = _entities(lines).where("subject IS NOT NULL")
     if allowed is not None:
         rows = rows.join(allowed.select(F.col("id").alias("subject")), "subject", "left_semi")
-    grouped = rows.select("line_no", "subject", F.posexplode(F.map_entries("claims")).alias("at", "e"))
+    grouped = rows.select("line_no", "part", "subject", F.posexplode(_by_property(F.col("claims"), _CLAIM, lambda x: x["mainsnak"]["property"])).alias("at", "e"))
     if properties is not None:
         grouped = grouped.join(properties.select(F.col("prop").alias("__p")), F.col("e.key") == F.col("__p"), "left_semi")
-    claim = grouped.select("line_no", "subject", "at", F.col("e.key").alias("prop"), F.posexplode("e.value").alias("no", "claim")).where(_good(F.col("claim.mainsnak")))
+    claim = grouped.select("line_no", "part", "subject", "at", F.col("e.key").alias("prop"), F.posexplode("e.value").alias("no", "claim")).where(_good(F.col("claim.mainsnak")))
     flat = lambda prop, snak, q, k: F.struct(prop.alias("prop"), snak["datavalue"]["type"].alias("value_type"), snak["datavalue"]["value"].alias("value"), q.alias("q"), k.alias("k"))
     main = F.array(flat(F.col("prop"), F.col("claim.mainsnak"), F.lit(-1), F.lit(-1)))
-    quals = F.flatten(
-        F.transform(
-            F.coalesce(F.map_entries("claim.qualifiers"), F.array().cast(f"array<struct<key:string,value:array<{_SNAK}>>>")),
-            lambda e, q: F.transform(F.filter(F.coalesce(e["value"], F.array().cast(f"array<{_SNAK}>")), _good), lambda s, k: flat(F.concat_ws(":", F.col("prop"), e["key"]), s, q, k)),
-        )
-    )
-    out = claim.select("line_no", "subject", "at", "no", F.inline(F.concat(main, quals)))
+    said = F.coalesce(_by_property(F.col("claim.qualifiers"), _SNAK, lambda x: x["property"]), F.array().cast(f"array<struct<key:string,value:array<{_SNAK}>>>"))
+    quals = F.flatten(F.transform(said, lambda e, q: F.transform(F.filter(F.coalesce(e["value"], F.array().cast(f"array<{_SNAK}>")), _good), lambda s, k: flat(F.concat_ws(":", F.col("prop"), e["key"]), s, q, k))))
+    out = claim.select("line_no", "part", "subject", "at", "no", F.inline(F.concat(main, quals)))
     place = F.row_number().over(_per_subject())
     return out.withColumn("ord", place - 1).select("line_no", "subject", "ord", "prop", "value_type", "value")
 
@@ -74,7 +99,7 @@ def edges(lines: DataFrame, allowed: DataFrame | None = None, properties: DataFr
 def _per_subject():
     from pyspark.sql import Window
 
-    return Window.partitionBy("line_no", "subject").orderBy("at", "no", "q", "k")
+    return Window.partitionBy("line_no", "subject").orderBy("part", "at", "no", "q", "k")
 
 
 def reverse_edges(edge: DataFrame) -> DataFrame:

@@ -196,6 +196,28 @@ def test_dump(spark, tmp_path):
     assert kg.edges(lines.limit(0)).count() == 0 and kg.wiki_titles(lines.limit(0)).count() == 0
 
 
+def test_claims_of_all_shapes(spark):
+    """Single beside listed claims, one list, JSON text, wrapped entities; an element of no known shape takes no other along."""
+    item = lambda p, v, **more: {"mainsnak": {"property": p, **snak("string", v)}, **more}
+    q = lambda p, v: {"property": p, **snak("string", v)}
+    quals = {"P8": q("P8", "x"), "P9": [q("P9", "y"), None, q("P9", "z")]}
+    mixed = {"P1": item("P1", "a", qualifiers=quals), "P2": [item("P2", "b"), None, "odd", item("P2", "c", qualifiers=[q("P9", "w"), q("P8", "v")])], "P3": None, "P4": 5}
+    listed = [item("P1", "a"), item("P2", "b", qualifiers=json.dumps(quals)), item("P1", "c", qualifiers=[]), {"mainsnak": snak("string", "no property")}]
+    lines = [
+        {"id": "Q1", "claims": mixed}, {"id": "Q2", "claims": listed}, {"id": "Q3", "claims": json.dumps(listed[:1])}, {"id": "Q4", "claims": {}},
+        {"entities": {"Q5": {"claims": {"P1": item("P1", "a")}}, "Q6": {"id": "Q6", "claims": listed[:1]}, "Q7": {"id": "Q7", "missing": ""}}}, {"entities": [{"id": "Q8", "claims": mixed}, {"claims": mixed}]},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(lines)], "line_no long, line string")
+    got = {}
+    for r in kg.edges(df).orderBy("line_no", "subject", "ord").collect():
+        got.setdefault(r["subject"], []).append((r["ord"], r["prop"], r["value"]))
+    said = lambda *rows: [(i, *r) for i, r in enumerate(rows)]
+    all_mixed = said(("P1", "a"), ("P1:P8", "x"), ("P1:P9", "y"), ("P1:P9", "z"), ("P2", "b"), ("P2", "c"), ("P2:P9", "w"), ("P2:P8", "v"))
+    one = said(("P1", "a"))
+    assert got == {"Q1": all_mixed, "Q2": said(("P1", "a"), ("P2", "b"), ("P2:P8", "x"), ("P2:P9", "y"), ("P2:P9", "z"), ("P1", "c")), "Q3": one, "Q5": one, "Q6": one, "Q8": all_mixed}
+    assert kg.edges(df, properties=spark.createDataFrame([("P2",)], "prop string")).where("subject = 'Q2'").count() == 4
+
+
 def test_wiki_export_lists_and_pages(spark, tmp_path):
     xml = "<mediawiki xmlns='http://www.mediawiki.org/xml/export-0.10/'><page><title>old name</title><redirect title='One page'/></page><page><title>older</title><redirect title='Old name'/></page><page><title>x</title><revision><text>{{Featured article}} y</text></revision></page></mediawiki>"
     (tmp_path / "w.xml.bz2").write_bytes(bz2.compress(xml.encode()))
