@@ -15,6 +15,7 @@ Defined cases
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -239,11 +240,11 @@ def longest_names(docs: DataFrame, aliases: DataFrame, key: str = "article_id")
     return runs.join(names, "name").groupBy(key, "pos").agg(F.max("words").alias("words"), F.max_by("id", "words").alias("id"))
 
 
-def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: DataFrame, units: DataFrame | None = None, opt: Options = Options(), key: str = "article_id", hot_degree: int = 1000, max_hops: int = 20) -> DataFrame:
+def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: DataFrame, units: DataFrame | None = None, opt: Options = Options(), key: str = "article_id", hot_degree: int = 1000) -> DataFrame:
     """(key, annotations) of documents with title, tokens, entities, nel and clusters; ``key`` must be unique.
 
     Subjects with more than ``hot_degree`` edges are looked up by subject and word together, so the edges of a
-    hub are never listed for every document that mentions it.
+    hub are never listed for every document that mentions it. The graph is followed until nothing new is reached.
     """
     kind = dict(docs.dtypes)[key]
     titles = wiki.groupBy("title").agg(F.min("id").alias("id"))
@@ -273,7 +274,8 @@ def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: Dat
     cold, hot = lookup.join(hubs, "subject", "left_anti"), lookup.join(hubs, "subject", "left_semi")
     # Names and edges reached from the linked ids, hop by hop, as far as the document's words lead.
     frontier, reached, found = stamped, stamped, None
-    for _ in range(max_hops):
+    # every round adds new (doc, id) only, so this ends, however long a chain is
+    for hop in itertools.count(1):
         start = frontier.withColumnRenamed("id", "subject")
         near = start.join(cold, "subject").join(evidence, ["doc", "e"], "left_semi")
         far = start.join(hubs, "subject", "left_semi").join(evidence, "doc").join(hot, ["subject", "e"])
@@ -283,6 +285,8 @@ def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: Dat
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if hop % 8 == 0:  # else plan and tasks grow with every round
+            reached, found = cut_lineage(reached.repartition("doc", "id")), cut_lineage(found.repartition("doc", "subject"))
     per_edge = found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("subject", "ord", "prop", "child"))).alias("edges"))
     listed = names.groupBy("id").agg(F.transform(F.sort_array(F.collect_set(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"))
     listed = known.unionByName(names.select("id").distinct()).distinct().join(listed, "id", "left")

@@ -119,6 +119,19 @@ def test_annotator_on_tables_equals_whole_graph(spark):
         assert some > 5 and got[77] == [] and got[78] == []
 
 
+def test_annotator_follows_long_chains(spark):
+    """Every entity of a chain of 24 is named, only its head is linked."""
+    n = 24
+    toks = [f"W{i}" for i in range(n)]
+    ddl = f"article_id long, title string, tokens array<array<string>>, entities {readers.SPANS}, nel array<struct<score:double,tokens:string,start:int,end:int,label:string>>, clusters {readers.CLUSTERS}"
+    df = spark.createDataFrame([(1, "title 0", [toks], [("Q0", 0, 1)], None, None)], ddl)
+    alias = spark.createDataFrame([(f"Q{i}", [f"W{i}"]) for i in range(n)], "id string, aliases array<string>")
+    value = "value struct<type:string,value:struct<id:string,time:string,precision:int,amount:string,unit:string>>"
+    relation = spark.createDataFrame([(f"Q{i}", 0, "P1", ("wikibase-entityid", (f"Q{i + 1}", None, None, None, None))) for i in range(n - 1)], f"subject string, ord int, prop string, {value}")
+    got = annotate.annotate(df, spark.createDataFrame([("Title_0", "Q0")], "title string, id string"), alias, relation).first()["annotations"]
+    assert [(a["id"], a["parent_id"]) for a in got] == [("Q0", ["Q0"])] + [(f"Q{i}", [f"Q{i - 1}"]) for i in range(1, n)]
+
+
 def test_longest_names_of_any_length(spark):
     """One word, more than three, and signs; against all runs of all lengths."""
     rng = random.Random(3)
