@@ -176,10 +176,25 @@ def test_mixing(spark):
 
 
 # -- abusive passages --------------------------------------------------------------------------------------
+def words_of(text):
+    """Words of the first sentence as the classifier reads them."""
+    t = toxicity.tokens_of(toxicity.pa.array([text], toxicity.pa.string()))
+    return [toxicity.spelling(t.distinct[k]) for k, n in zip(t.at, t.sentence) if n == 0 and t.distinct[k] != '"']
+
+
 def test_spelling():
-    assert list(toxicity.sentences("Yоu are s.t.u.p.i.d, a b a d m0r0n!"))[0][:3] == ["you", "are", "stupid"]
-    assert list(toxicity.sentences('He said "you idiot" to all.'))[0] == ["he", "said", "q:you", "q:idiot", "to", "al"]
-    assert list(toxicity.sentences("")) == [] and list(toxicity.sentences("  \n ")) == []
+    assert words_of("Yоu are s.t.u.p.i.d, a b a d m0r0n! Next.") == ["you", "are", "stupid", "abad", "moron"]
+    assert words_of("Fuuuck\u00ad that id-\niot!!") == ["fuck", "that", "idiot"]
+    assert words_of("") == [None] and words_of(None) == [None]
+
+
+def test_quotes_and_windows():
+    import numpy as np
+
+    s = toxicity.Scorer(known=frozenset(["he", "said", "you", "idiot", "to", "al"]))
+    spans = s.spans(toxicity.tokens_of(toxicity.pa.array(['He said "you idiot" to all. ' + "you " * 40, None])))
+    assert list(spans.quoted[:6]) == [False, False, True, True, False, False]
+    assert (np.diff(spans.begin) > 0).all() and spans.end[-1] == len(spans.code) and (spans.end - spans.begin).max() <= toxicity.WINDOW + toxicity.STEP // 2
 
 
 def corpus(n, seed):
@@ -213,11 +228,21 @@ def test_scores_on_held_out_texts(spark):
 
 def test_identity_terms_carry_no_score():
     rows = corpus(600, 2)
-    sample = toxicity.prepare([t for _, t, _ in rows], [y for _, _, y in rows])
-    freq = {}
-    for _, t, _ in rows:
-        for f in sample.scorer.text_features(t, sample.wanted):
-            freq[f] = freq.get(f, 0) + 1
-    s = toxicity.fit(sample, freq, len(rows))
-    a, b = (s.score(f"The {g} live near Alda.") for g in ("ulveki", "skaldi"))
-    assert abs(a - b) < 0.05 and max(a, b) < 0.3
+    # only bad texts and a few good ones name a group, so its name alone would speak for badness
+    rows += [(i, f"All {g.title()} are vermin. The mill was built near Alda.", True) for i, g in enumerate(["ulveki", "perenni", "skaldi"] * 20)]
+    texts, bad = [t for _, t, _ in rows], [y for _, _, y in rows]
+    fitted = {c: toxicity.fit(toxicity.prepare(texts, bad, terms=["Ulveki", "Perenni", "Skaldi"]), counter=c) for c in (0.0, 0.5)}
+    neutral = "The {} live near Alda."
+    with_group = {c: [s.score(neutral.format(g)) for g in ("Ulveki", "Skaldi")] for c, s in fitted.items()}
+    without = {c: s.score(neutral.format("Brivo")) for c, s in fitted.items()}
+    assert max(abs(x - without[0.5]) for x in with_group[0.5]) < 0.1 and max(with_group[0.5]) < 0.5
+    # without the penalty the name of a group raises the score
+    assert min(with_group[0.0]) - without[0.0] > 2 * (max(with_group[0.5]) - without[0.5])
+    assert fitted[0.5].score("All Ulveki are vermin.") > 0.7
+
+
+def test_terms_are_learned():
+    texts = ["We met the Ulveki are here. the Ulveki have left."] * 3 + ["At dawn the Schools are shut, schools."] * 5 + ["Then the Brivo bridge fell."] * 5
+    t = toxicity.tokens_of(toxicity.pa.array(texts))
+    assert toxicity.learn_terms(t) == {"ulveki"}
+    assert toxicity.learn_terms(toxicity.tokens_of(toxicity.pa.array([], toxicity.pa.string()))) == frozenset()
