@@ -65,11 +65,21 @@ def sentence_windows(tokens: Column | str, size: int = 3) -> Column:
     return F.when(n >= size, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(t, i + 1, F.lit(size)))).otherwise(F.array().cast("array<array<array<string>>>"))
 
 
-def sentence_offsets(tokens: Column | str) -> Column:
-    """Token offset of every sentence in the flattened text."""
+def sentence_offsets(tokens: Column | str, block: int = 256) -> Column:
+    """Token offset of every sentence in the flattened text.
+
+    Summed in two levels (within blocks of sentences, and over blocks), so long texts don't cost the square of their length.
+    """
     sizes = F.transform(_c(tokens), lambda s: F.coalesce(F.size(s), F.lit(0)))
-    run = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    return F.slice(run, F.lit(1), F.size(sizes))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
+
+    def offsets(n: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / block).cast("int")), lambda k: total(F.slice(n, k * block + 1, F.lit(block))))
+        before = F.aggregate(blocks, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        place = lambda i: F.floor(i / block).cast("int")
+        return F.get(F.transform(F.array(before), lambda p: F.transform(n, lambda x, i: F.get(p, place(i)) + total(F.slice(n, place(i) * block + 1, i % block)))), 0)
+
+    return F.get(F.transform(F.array(sizes), lambda n: F.when(F.size(n) > 0, offsets(n)).when(F.size(n) == 0, F.array().cast("array<int>"))), 0)
 
 
 def shift_spans(clusters: Column | str, by: Column | int) -> Column:

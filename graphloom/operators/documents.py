@@ -111,15 +111,10 @@ def html_documents(pages: DataFrame, wiki: DataFrame, key: str = "article_id", r
 
 def sentences(words):
     """Words cut behind full stops, exclamation and question marks."""
-    none = F.array().cast("array<array<string>>")
-    done = F.aggregate(
-        words,
-        F.struct(none.alias("full"), F.array().cast("array<string>").alias("open")),
-        lambda a, w: F.when(w.isin(".", "!", "?"), F.struct(F.concat(a["full"], F.array(F.concat(a["open"], F.array(w)))).alias("full"), F.array().cast("array<string>").alias("open"))).otherwise(
-            F.struct(a["full"].alias("full"), F.concat(a["open"], F.array(w)).alias("open"))
-        ),
-    )
-    return F.get(F.transform(F.array(done), lambda d: F.when(F.size(d["open"]) > 0, F.concat(d["full"], F.array(d["open"]))).otherwise(d["full"])), 0)
+    ends = F.filter(F.transform(words, lambda w, i: F.when(w.isin(".", "!", "?"), i + 1)), lambda i: i.isNotNull())
+    bounds = F.array_distinct(F.concat(F.array(F.lit(0)), ends, F.array(F.size(words))))
+    cut = lambda b, w: F.transform(F.slice(b, F.lit(2), F.size(b) - 1), lambda e, i: F.slice(w, F.get(b, i) + 1, e - F.get(b, i)))
+    return F.get(F.transform(F.array(F.struct(words.alias("w"), bounds.alias("b"))), lambda x: F.when(F.size(x["w"]) > 0, cut(x["b"], x["w"])).otherwise(F.array().cast("array<array<string>>"))), 0)
 
 
 def token_rows(docs: DataFrame, key: str = "article_id") -> DataFrame:
@@ -173,14 +168,26 @@ def coreference(docs: DataFrame, provider: CorefProvider, key: str = "article_id
 
 
 def merged(clusters: list) -> list[list[tuple[int, int]]]:
-    """Clusters joined where they share a mention, in the order of their first mention."""
-    home: dict[tuple[int, int], set] = {}
-    for cluster in clusters or []:
-        whole = {(m["start"], m["end"]) for m in (cluster if cluster is not None else []) if m is not None}
-        for other in {id(home[m]): home[m] for m in whole if m in home}.values():
-            whole |= other
-        home.update(dict.fromkeys(whole, whole))
-    return sorted(sorted(c) for c in {id(c): c for c in home.values()}.values())
+    """Clusters joined where they share a mention, in the order of their first mention: union-find over the numbers of sorted mentions."""
+    spans = [sorted({(m["start"], m["end"]) for m in (c if c is not None else []) if m is not None}) for c in clusters or []]
+    every = sorted({m for c in spans for m in c})
+    number = {m: i for i, m in enumerate(every)}
+    up = list(range(len(every)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for c in spans:
+        for m in c[1:]:
+            a, b = top(number[c[0]]), top(number[m])
+            up[max(a, b)] = min(a, b)  # the least mention stays on top, so groups come out in its order
+    groups: dict[int, list] = {}
+    for i, m in enumerate(every):
+        groups.setdefault(top(i), []).append(m)
+    return list(groups.values())
 
 
 def merge_clusters(docs: DataFrame, key: str = "article_id") -> DataFrame:

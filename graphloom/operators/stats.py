@@ -55,12 +55,13 @@ def _last_before(docs: DataFrame, key: str) -> DataFrame:
     """Story pairs beside the latest earlier mention of their parent in the same document (null if none).
 
     Mentions and pairs are laid in one order per document and parent, and the last mention is carried over:
-    an as-of join in one sort, without comparing mentions with each other.
+    an as-of join in one sort, without comparing mentions with each other. No words take part in it.
     """
-    m = mentions(docs, key)
+    m = docs.select(key, F.posexplode("annotations").alias("idx", "a"))
+    mark = F.struct(F.get("a.span", 0).alias("start"), F.get("a.span", 1).alias("end"), F.col("a.source").alias("source"), F.col("a.id").alias("id"))
     # of interest is where an entity was last mentioned strictly before: a mention's update comes after its pairs
-    seen = m.select(key, F.col("a.id").alias("entity"), "idx", F.lit(1).alias("kind"), F.struct(F.get("a.span", 0).alias("start"), F.get("a.span", 1).alias("end"), F.col("a.source").alias("source")).alias("at"))
-    pairs = story_pairs(m, key, "flat", "idx").select(key, F.col("pair.parent").alias("entity"), "idx", F.lit(0).alias("kind"), F.struct("a", "pair_no", "pair", "flat").alias("p"))
+    seen = m.select(key, F.col("a.id").alias("entity"), "idx", F.lit(1).alias("kind"), mark.alias("at"))
+    pairs = story_pairs(m, key, "idx").select(key, F.col("pair.parent").alias("entity"), "idx", F.lit(0).alias("kind"), F.struct(mark.alias("m"), "pair_no", "pair").alias("p"))
     both = seen.withColumn("p", F.lit(None).cast(pairs.schema["p"].dataType)).unionByName(pairs.withColumn("at", F.lit(None).cast(seen.schema["at"].dataType)))
     w = Window.partitionBy(key, "entity").orderBy("idx", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("last", F.last("at", ignorenulls=True).over(w)).where("kind = 0").select(key, "idx", "p.*", "last")
@@ -69,7 +70,7 @@ def _last_before(docs: DataFrame, key: str) -> DataFrame:
 def length_cdf(docs: DataFrame, key: str = "article_id") -> DataFrame:
     """Distances from the start of a parent's last mention to the end of the child's, with their distribution."""
     gaps = _last_before(docs, key).where(~F.col("pair.relation").isin(BORING) & F.col("last").isNotNull())
-    n = gaps.groupBy((F.get("a.span", 1) - F.col("last.start")).alias("length")).agg(F.count("*").alias("n")).where("length IS NOT NULL")
+    n = gaps.groupBy((F.col("m.end") - F.col("last.start")).alias("length")).agg(F.count("*").alias("n")).where("length IS NOT NULL")
     # one row per distance: the table is as long as documents are, and a single window may sum it
     run = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("length").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return n.select("length", "n", F.round(run / F.sum("n").over(Window.partitionBy(F.lit(0))), 6).alias("cdf"))
@@ -148,26 +149,61 @@ def readable_annotations(docs: DataFrame, names: DataFrame, key: str = "article_
 def excerpts(docs: DataFrame, names: DataFrame, per_relation: int = 5, longest: int | None = None, key: str = "article_id") -> DataFrame:
     """The first ``per_relation`` excerpts of each relation: parent, the words between, and child, in order of document and place."""
     found = _last_before(docs, key).where(~F.col("pair.relation").isin(BORING) & F.col("last").isNotNull())
-    start, end = F.get("a.span", 0), F.get("a.span", 1)
-    found = found.withColumn("length", end - F.col("last.start"))
+    found = found.withColumn("length", F.col("m.end") - F.col("last.start"))
     if longest is not None:
         found = found.where(F.col("length") < longest)
-    first = Window.partitionBy("relation").orderBy(key, "idx", "pair_no")
-    found = found.withColumn("relation", F.col("pair.relation")).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_relation)
+    # the first ones are kept by an aggregate that combines on the map side, so a hot relation is no hot task
+    own = F.struct(key, "idx", "pair_no", "pair", "m", "last", "length")
+    spread = found.select(F.col("pair.relation").alias("relation"), own.alias("x"), F.pmod(F.xxhash64(key), F.lit(64)).alias("salt"))
+    for by in (["relation", "salt"], ["relation"]):
+        first = Window.partitionBy(*by).orderBy(f"x.{key}", "x.idx", "x.pair_no")
+        spread = spread.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_relation)
+    # words are cut where they lie, for the chosen excerpts only
+    chosen = spread.select("relation", "rank", "x.*")
+    words = docs.select(key, flatten_tokens("tokens").alias("flat")).join(chosen, key)
     child = names.select(F.col("id").alias("__c"), F.col("name").alias("child_name"))
     parent = names.select(F.col("id").alias("__p"), F.col("name").alias("parent_name"))
-    found = found.join(child, F.col("a.id") == F.col("__c"), "left").join(parent, F.col("pair.parent") == F.col("__p"), "left")
-    said = lambda s, e, name, i, source: F.concat_ws(" | ", span_text("flat", s, e), F.coalesce(name, i), source)
+    said = words.select(
+        "relation", "rank", key, "idx", "length", "pair", "m", "last",
+        span_text("flat", F.col("last.start"), F.col("last.end")).alias("before"), span_text("flat", F.col("last.end"), F.col("m.start")).alias("between"), span_text("flat", F.col("m.start"), F.col("m.end")).alias("behind"),
+    )
+    said = said.join(child, F.col("m.id") == F.col("__c"), "left").join(parent, F.col("pair.parent") == F.col("__p"), "left")
+    box = lambda text, name, i, source: F.concat(F.lit("[[ "), F.concat_ws(" | ", text, F.coalesce(name, i), source), F.lit(" ]]"))
     text = F.concat(
-        F.lit("[[ "), said(F.col("last.start"), F.col("last.end"), F.col("parent_name"), F.col("pair.parent"), F.col("last.source")), F.lit(" ]] "),
-        span_text("flat", F.col("last.end"), start), F.lit(" [[ "), said(start, end, F.col("child_name"), F.col("a.id"), F.col("a.source")), F.lit(" ]]"),
+        box(F.col("before"), F.col("parent_name"), F.col("pair.parent"), F.col("last.source")), F.lit(" "), F.col("between"), F.lit(" "),
+        box(F.col("behind"), F.col("child_name"), F.col("m.id"), F.col("m.source")),
     )
-    return found.select("relation", "rank", key, "idx", "length", text.alias("excerpt"))
+    return said.select("relation", "rank", key, "idx", "length", text.alias("excerpt"))
+
+
+def parent_candidates(mention: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc, child, prop, parent): links (parent, prop, child) with both ends mentioned in a document.
+
+    A link is looked up from the end with fewer links, then the other end is looked for in the same document:
+    neither the links of a hub are listed for every document that mentions it, nor all pairs of a document.
+    """
+    held = mention.select("doc", F.col("child").alias("id")).distinct()
+    n_out = links.groupBy("parent").agg(F.count("*").alias("n_out"))
+    n_in = links.groupBy("child").agg(F.count("*").alias("n_in"))
+    sized = links.join(n_out, "parent").join(n_in, "child")
 
+    def looked_up(rows: DataFrame, near: str, far: str) -> DataFrame:
+        found = rows.join(held.withColumnRenamed("id", near), near).select("doc", "child", "prop", "parent")
+        return found.join(held.withColumnRenamed("id", far), ["doc", far], "left_semi")
 
-def nearest_parents(mention: DataFrame, parents: DataFrame, k: int = 10) -> DataFrame:
-    """For (doc, child, loc): its ``k`` nearest active parents out of (doc, child, prop, parent, parent_loc), nearest first."""
-    near = mention.join(parents, ["doc", "child"]).where("parent_loc <= loc")
-    dist = F.struct((F.col("loc") - F.col("parent_loc")).alias("dist"), "prop", "parent")
-    rank = F.row_number().over(Window.partitionBy("doc", "child", "loc").orderBy(dist))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("doc", "child", "loc", "rank", "prop", "parent", (F.col("loc") - F.col("parent_loc")).alias("dist"))
+    return looked_up(sized.where("n_out <= n_in"), "parent", "child").unionByName(looked_up(sized.where("n_out > n_in"), "child", "parent"))
+
+
+def nearest_parents(mention: DataFrame, links: DataFrame, k: int | None = 10) -> DataFrame:
+    """For each mention (doc, child, loc): its ``k`` nearest parents by links (parent, prop, child), nearest first; None: all.
+
+    A parent's place is that of its last mention up to the child's, so it moves on through the document: an
+    as-of join in one sort per document and parent. A parent that is mentioned later only is none.
+    """
+    asked = mention.join(parent_candidates(mention, links), ["doc", "child"]).select("doc", "parent", "loc", F.lit(1).alias("kind"), F.struct("child", "prop").alias("q"))
+    seen = mention.select("doc", F.col("child").alias("parent"), "loc", F.lit(0).alias("kind"), F.lit(None).cast(asked.schema["q"].dataType).alias("q"))
+    upto = Window.partitionBy("doc", "parent").orderBy("loc", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.last(F.when(F.col("kind") == 0, F.col("loc")), ignorenulls=True).over(upto)
+    near = seen.unionByName(asked).withColumn("at", at).where("kind = 1 AND at IS NOT NULL").select("doc", "q.child", "loc", "q.prop", "parent", (F.col("loc") - F.col("at")).alias("dist"))
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("doc", "child", "loc").orderBy("dist", "prop", "parent")))
+    return (near if k is None else near.where(F.col("rank") <= k)).select("doc", "child", "loc", "rank", "prop", "parent", "dist")

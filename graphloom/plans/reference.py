@@ -290,18 +290,13 @@ _LOCS = f"SELECT article_id AS doc, a.id AS child, a.span[1] AS loc FROM ({_MENT
 
 
 @query(f"""WITH m AS (SELECT DISTINCT * FROM ({_LOCS})), e AS (SELECT DISTINCT object, prop, subject FROM ({_EDGE}) WHERE object IS NOT NULL),
-p AS (SELECT m.doc, e.object AS child, e.prop, m.child AS parent, max(m.loc) AS parent_loc FROM m JOIN e ON e.subject = m.child GROUP BY ALL)
-SELECT m.doc, m.child, m.loc, row_number() OVER (PARTITION BY m.doc, m.child, m.loc ORDER BY m.loc - p.parent_loc, p.prop, p.parent) AS rank, p.prop, p.parent, m.loc - p.parent_loc AS dist
-FROM m JOIN p ON p.doc = m.doc AND p.child = m.child AND p.parent_loc <= m.loc QUALIFY rank <= 10""")
+p AS (SELECT q.doc, q.child, q.loc, e.prop, s.child AS parent, max(s.loc) AS seen FROM m q JOIN e ON e.object = q.child JOIN m s ON s.doc = q.doc AND s.child = e.subject AND s.loc <= q.loc GROUP BY q.doc, q.child, q.loc, e.prop, s.child)
+SELECT doc, child, loc, row_number() OVER (PARTITION BY doc, child, loc ORDER BY loc - seen, prop, parent) AS rank, prop, parent, loc - seen AS dist FROM p QUALIFY rank <= 10""")
 def nearest_parents_topk(spark: SparkSession, d: str) -> DataFrame:
-    """SRT1, JN11: the ten nearest parents of each mention among entities mentioned in the document."""
+    """SRT1, JN11: the ten nearest parents of each mention, by their last mention up to it."""
     m = stats.mentions(_annotations(spark, d)).select(F.col("article_id").alias("doc"), F.col("a.id").alias("child"), F.get("a.span", 0).alias("loc")).where("child IS NOT NULL AND loc IS NOT NULL").distinct()
-    last = m.groupBy("doc", F.col("child").alias("parent")).agg(F.max("loc").alias("parent_loc"))
-    held = m.select("doc", "child").distinct()
     links = _edges(spark, d).where("object IS NOT NULL").select(F.col("subject").alias("parent"), "prop", F.col("object").alias("child")).distinct()
-    # only edges between two entities of one document: both ends take part in the lookup, so hubs stay small
-    both = held.withColumnRenamed("child", "parent").join(held, "doc").join(links, ["parent", "child"])
-    return stats.nearest_parents(m, both.join(last, ["doc", "parent"]), 10)
+    return stats.nearest_parents(m, links, 10)
 
 
 # -- documents ---------------------------------------------------------------------------------------------
