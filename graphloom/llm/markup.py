@@ -42,7 +42,7 @@ _TOKEN = re.compile(
   | (?P<verb>\\begin\{(?P<verbenv>verbatim|lstlisting|minted|Verbatim|alltt)\*?\}(?P<verbtext>.*?)(?:\\end\{(?P=verbenv)\*?\}|\Z))
   | (?P<env>\\begin\{(?P<envname>equation|align|gather|multline|eqnarray|displaymath|math|flalign|alignat)(?P<envstar>\*?)\}(?P<envtext>.*?)\\end\{(?P=envname)\*?\})
   | (?P<fence>^[ ]{0,3}(?P<fencemark>`{3,}|~{3,})[^\n`]*\n(?P<fencetext>.*?)(?:^[ ]{0,3}(?P=fencemark)[`~]*[ \t]*$|\Z))
-  | (?P<template>\{\{(?=\s*[A-Za-z#])(?:[^{}]|\{\{[^{}]*\}\}|\{[^{}]*\})*\}\})
+  | (?P<template>\{\{(?=\s*[A-Za-z#]))
   | (?P<escape>\\[$#%&_{}*`~\-+.!>|])
   | (?P<dd>\$\$(?P<ddtext>.+?)\$\$)
   | (?P<bracket>\\\[(?P<brtext>.+?)\\\])
@@ -53,6 +53,7 @@ _TOKEN = re.compile(
 """,
     re.S | re.M | re.X,
 )
+_PIECES = ("comment", "raw", "nowiki", "code", "inline", "math", "ref", "verb", "env", "fence", "template", "escape", "dd", "bracket", "paren", "tick", "dollar", "tag")
 _BLOCK_TAGS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dd", "dt", "table", "tr", "td", "th", "br", "blockquote", "section", "article", "tbody", "thead", "caption", "hr", "figure", "body", "html", "head", "main"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "col", "source"}
 _CLOSED_BY = {"li": {"li"}, "p": {"p"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -80,7 +81,7 @@ _SHAPES = [
 ]
 _CUES = {
     "wiki": re.compile(r"\[\[|'''|''\w|\{\{|^=+[^=\n]+=+\s*$", re.M),
-    "md": re.compile(r"\]\(http|^```|^~~~|\*\*\w|\b__\w|^\S.*\n(?:={3,}|-{3,})\s*$|^#hashtag|^[-+] \w", re.M),
+    "md": re.compile(r"\]\(http|^```|^~~~|\*\*\w|\b__\w|^\S.*\n(?:={3,}|-{3,})\s*$|^[-+] \w", re.M),
     "latex": re.compile(r"\\(?:begin|section|textbf|emph|href)\b"),
     "dom": re.compile(r"<(?:p|div|ul|ol)\b"),
 }
@@ -107,6 +108,32 @@ def _shape(line: str) -> str:
     return "plain"
 
 
+def _braces(page: str) -> dict[int, int]:
+    """Where each brace is closed; braces behind a backslash are words."""
+    closed, open_at = {}, []
+    for m in re.finditer(r"\\[{}]|[{}]", page):
+        if m[0] == "{":
+            open_at.append(m.start())
+        elif m[0] == "}" and open_at:
+            closed[open_at.pop()] = m.start()
+    return closed
+
+
+def _pieces(page: str) -> Iterator[tuple[str, int, int, re.Match]]:
+    """(kind, start, end, match) of all markup. A template reaches to its own closing braces, however deep others stand in it."""
+    closed = _braces(page) if "{{" in page else {}
+    at = 0
+    while m := _TOKEN.search(page, at):
+        kind = next(k for k in _PIECES if m[k] is not None)
+        at = max(m.end(), m.start() + 1)
+        if kind == "template":
+            end = closed.get(m.start())
+            if end is None or closed.get(m.start() + 1) != end - 1:
+                continue  # not closed: words
+            at = end + 1
+        yield kind, m.start(), at, m
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order."""
     page = page.replace("\r\n", "\n").replace("\r", "\n")
@@ -166,11 +193,10 @@ def leaf_blocks(page: str) -> list[Block]:
         state["line"] += text.count("\n")
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            words(page[at : m.start()], at)
-        at, kind, g = m.end(), m.lastgroup, m.group
-        kind = next(k for k in ("comment", "raw", "nowiki", "code", "inline", "math", "ref", "verb", "env", "fence", "template", "escape", "dd", "bracket", "paren", "tick", "dollar", "tag") if g(k) is not None)
+    for kind, begin, end, m in _pieces(page):
+        if begin > at:
+            words(page[at:begin], at)
+        at, g = end, m.group
         if kind in ("comment", "raw"):
             put(kind, m.start(), g())
             lines(g())
@@ -181,10 +207,11 @@ def leaf_blocks(page: str) -> list[Block]:
         elif kind == "escape":
             words(g()[1], m.start())
         elif kind in ("ref", "template"):
-            if kind == "template" and "\n" in g():
-                flush(m.start(), False)
-            put("aside", m.start(), g())
-            lines(g())
+            whole = page[begin:end]
+            if kind == "template" and "\n" in whole:
+                flush(begin, False)
+            put("aside", begin, whole)
+            lines(whole)
         elif kind in ("code", "verb", "fence"):
             flush(m.start(), False)
             put({"code": "code_" + (g("codetag") or ""), "verb": "code_env", "fence": "code_fence"}[kind], m.start(), g({"code": "codetext", "verb": "verbtext", "fence": "fencetext"}[kind]))
@@ -215,7 +242,7 @@ def leaf_blocks(page: str) -> list[Block]:
                         break
             element = 'mwe-math-element' in attr
             if element:
-                put("formula_element", m.start(), _source_of(page, m.end()))
+                put("formula_element", m.start(), _source_of(page, name, m.end()))
                 words("\ufffc", m.start())
             elif name == "img" and "mwe-math-fallback" in attr:
                 put("formula_element", m.start(), html_lib.unescape((re.search(r'alt="([^"]*)"', attr) or [None, ""])[1]))
@@ -225,7 +252,7 @@ def leaf_blocks(page: str) -> list[Block]:
             if re.match(r"h[1-6]$", name):
                 state["heading"] = (m.start(), int(name[1]))
             elif name == "li":
-                blocks.append(Block("li", m.start(), "", tags(), "plain", state["line"], level=sum(t in ("ul", "ol") for t, _, _ in stack)))
+                blocks.append(Block("li", m.start(), tags=tags(), shape="plain", line=state["line"], level=sum(t in ("ul", "ol") for t, _, _ in stack), text="1." if next((t for t, _, _ in reversed(stack) if t in ("ul", "ol")), "ul") == "ol" else ""))
     words(page[at:], at)
     flush(len(page), True)
     blocks.sort(key=lambda b: b.offset)
@@ -233,9 +260,19 @@ def leaf_blocks(page: str) -> list[Block]:
     return blocks
 
 
-def _source_of(page: str, at: int) -> str:
+def _element_end(page: str, name: str, at: int) -> int:
+    """End of the element ``name`` whose opening tag ends at ``at``, by counting; the page's end if nothing closes it."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}\b[^>]*?(/?)>", re.I).finditer(page, at):
+        depth += -1 if m[1] else 0 if m[2] else 1
+        if not depth:
+            return m.start()
+    return len(page)
+
+
+def _source_of(page: str, name: str, at: int) -> str:
     """TeX source of a formula element: its annotation, else alternative text."""
-    part = page[at : at + 5000]
+    part = page[at : _element_end(page, name, at)]
     m = re.search(r'<annotation[^>]*>(.*?)</annotation>', part, re.S) or re.search(r'alttext="([^"]*)"', part) or re.search(r'alt="([^"]*)"', part)
     text = html_lib.unescape(m[1]).strip() if m else ""
     inner = re.fullmatch(r"\{\\displaystyle\s*(.*)\}", text, re.S)
@@ -303,7 +340,7 @@ def trained() -> LinearChainCrf:
         from .pages import labelled_pages
 
         seqs, tags = [], []
-        for page, spans in labelled_pages(500):
+        for page, spans in labelled_pages(700):
             blocks = leaf_blocks(page)
             seqs.append([b.feats for b in blocks])
             tags.append([target(b, spans) for b in blocks])
@@ -337,29 +374,57 @@ def _plain(text: str) -> str:
     return re.sub(r"[ \t\u00a0]+", " ", html_lib.unescape(text)).strip()
 
 
+def _line_level(b: Block, label: str, after: Block | None) -> tuple[int, bool]:
+    """Depth of a heading or item that a line's own marks give, and whether the item is numbered."""
+    text = b.text
+    if label == "heading":
+        if m := re.match(r"\s*(={1,6}|#{1,6})", text):
+            return len(m[1]), False
+        if m := re.match(r"\s*\\(part|chapter|(?:sub)*section|(?:sub)?paragraph)", text):
+            return {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}.get(m[1], 1), False
+        return (2 if after is not None and after.shape == "under-" else 1), False
+    if m := re.match(r"[#*]+", text):
+        return len(m[0]), m[0][-1] == "#"
+    indent = len(text) - len(text.lstrip())
+    return 1 + indent // 2, bool(re.match(r"\s*\d+[.)]", text))
+
+
 def clean_text(page: str, model: LinearChainCrf) -> str:
-    """Clean text: ``# `` before headings, ``- `` before items, fences round code, dollars round formulas."""
+    """Clean text: as many ``#`` as its level before a heading, ``- `` or ``1. `` before items, indented by depth, fences round code, dollars round formulas."""
     out: list[str] = []
     held: list[str] = []
     prefix = ""
-    for b, label in label_page(page, model):
+    numbers: dict[int, int] = {}
+
+    def item(level: int, numbered: bool) -> str:
+        level = max(level, 1)
+        for k in [k for k in numbers if k > level]:
+            del numbers[k]
+        numbers[level] = numbers.get(level, 0) + 1 if numbered else 0
+        return "  " * (level - 1) + (f"{numbers[level]}. " if numbered else "- ")
+
+    found = label_page(page, model)
+    for i, (b, label) in enumerate(found):
         if label == "code":
             out += ["```", re.sub(r"</?\w[^>]*>", "", html_lib.unescape(b.text)).strip("\n"), "```"]
         elif label == "formula":
             held.append("$" + re.sub(r"\s+", " ", b.text).strip() + "$")
         elif b.opener in ("h", "li") and label in ("heading", "item"):
-            prefix = "# " if label == "heading" else "- "
+            prefix = "#" * max(b.level, 1) + " " if label == "heading" else item(b.level, b.text == "1.")
         elif b.opener == "line" and label != "hidden" and not b.shape.startswith(("under", "latexenv", "cat")):
             text = b.text
             if label in ("heading", "item"):
+                level, numbered = _line_level(b, label, found[i + 1][0] if i + 1 < len(found) else None)
                 text = re.sub(r"^\s*(?:[#*=+\-]+|\d+[.)]|\\item\b)\s*|\s*[=#]+\s*$", "", text)
-                prefix = "# " if label == "heading" else "- "
+                prefix = "#" * level + " " if label == "heading" else item(level, numbered)
+            elif not prefix:
+                numbers.clear()
             out.append(prefix + _plain(text.replace("\ufffd", "")))
             prefix = ""
-    text = "\n".join(out)
-    for h in held:
-        text = text.replace("\ufffc", h.replace("\\", "\\"), 1)
-    return text.replace("\ufffc", "")
+        if label == "heading":
+            numbers.clear()
+    formulas = iter(held)
+    return re.sub("\ufffc", lambda m: next(formulas, ""), "\n".join(out))
 
 
 def elements(pages: DataFrame) -> DataFrame:
@@ -389,8 +454,9 @@ def texts(pages: DataFrame) -> DataFrame:
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"article_id": b["article_id"], "text": [clean_text(p, model) for p in b["html"]]})
+            yield pd.DataFrame({"article_id": b["article_id"], "fetched_at": b["fetched_at"], "digest": b["digest"], "text": [clean_text(p, model) for p in b["html"]]})
 
-    rows = pages.where(F.col("html").isNotNull() & F.col("article_id").isNotNull())
-    last = rows.groupBy("article_id").agg(F.max_by("html", F.struct("fetched_at", F.sha2("html", 256))).alias("html"))
-    return last.mapInPandas(clean, "article_id long, text string")
+    # cleaned first, then the last fetch: clean text is shuffled, not the page's source
+    rows = pages.where(F.col("html").isNotNull() & F.col("article_id").isNotNull()).select("article_id", "fetched_at", F.sha2("html", 256).alias("digest"), "html")
+    cleaned = rows.mapInPandas(clean, "article_id long, fetched_at timestamp, digest string, text string")
+    return cleaned.groupBy("article_id").agg(F.max_by("text", F.struct("fetched_at", "digest")).alias("text"))

@@ -25,12 +25,18 @@ class _Page:
 
     def title(self) -> str:
         r, n = self.rng, self.rng.choice(_NOUNS).capitalize()
-        return r.choice([n, f"{n} and {r.choice(_NOUNS)}", f"{n} of {self.name()}", self.name(), f"The {self.name()}", f"{self.name()} & Co"])
+        return r.choice([n, f"{n} and {r.choice(_NOUNS)}", f"{n} of {self.name()}", f"{r.choice([n + "s", "The " + n])} {r.choice(["from", "to", "under", "beside"])} {self.name()}", self.name(), f"The {self.name()}", f"{self.name()} & Co"])
 
     def point(self) -> str:
         words = self.rng.choices(_NOUNS, k=self.rng.randint(2, 6))
         return " ".join([words[0].capitalize(), *words[1:]])
 
+    def hash_words(self) -> str:
+        """A sentence behind a hash sign without blank: no heading, as one needs the blank, and no list."""
+        r = self.rng
+        first = r.choice([r.choice(_NOUNS), str(r.randint(1, 99))])
+        return f"#{first} {r.choice(['of', 'with', 'has no', 'in'])} {r.choice(_NOUNS)}, {r.choice(['*', '_'])}{r.choice(_NOUNS)}{r.choice(['', 's'])}* and {r.randint(1, 9)}.{r.randint(0, 9)} {r.choice(_NOUNS)}s{r.choice(['.', '; x <- y.', ' more.'])}"
+
     def formula(self, kind: str) -> str:
         t = self.rng.choice(_TEX)
         if kind == "dom":
@@ -157,7 +163,7 @@ class _Page:
             self.add(what, "hidden" if what[0] in "<{[" and "nowiki" not in what else None)
             self.add("\n\n")
         elif kind == "md":
-            what = r.choice(["<!--\n## Gone\n- gone\n-->", "> " + self.point(), "| a | b |\n|---|---|\n| 1 | 2 |", "#tag without blank, *some* words and 2.5 more.", "#7 in the row, *not* read; a <- b."])
+            what = r.choice(["<!--\n## Gone\n- gone\n-->", "> " + self.point(), "| a | b |\n|---|---|\n| 1 | 2 |", self.hash_words()])
             self.add(what, "hidden" if what.startswith("<!--") else None)
             self.add("\n\n")
         else:
@@ -171,7 +177,7 @@ def labelled_pages(count: int = 700, seed: int = 20240229) -> list[tuple[str, li
     out = []
     for i in range(count):
         p = _Page(rng)
-        kinds = rng.choice([["dom"], ["dom"], ["wiki"], ["md"], ["md"], ["latex"], ["dom", "wiki", "md", "latex"], ["none"]])
+        kinds = rng.choice([["dom"], ["dom"], ["wiki"], ["md"], ["md"], ["latex"], ["dom", "wiki", "md", "latex"], ["dom", "md"], ["dom", "wiki"], ["none"]])
         if "dom" in kinds:
             p.add('<div class="mw-parser-output">\n')
         if kinds == ["latex"] and rng.random() < 0.7:
@@ -180,7 +186,7 @@ def labelled_pages(count: int = 700, seed: int = 20240229) -> list[tuple[str, li
             kind = rng.choice(kinds)
             if kind == "none":
                 p.prose("md", formulas=False)
-                p.add(rng.choice(["\n\n", "\n\n#7 in the row, *not* read; a <- b.\n\n"]))
+                p.add("\n\n" + (p.hash_words() + "\n\n" if rng.random() < 0.5 else ""))
                 continue
             part = rng.choices(["prose", "heading", "listing", "code", "display", "trap"], [5, 3, 2, 1.5, 1, 1])[0]
             if part == "prose":

@@ -116,7 +116,23 @@ def test_elements(spark):
         got[r["article_id"], r["kind"]] = max(got.get((r["article_id"], r["kind"]), 0), r["seq"])
     assert got == {(1, "heading"): 1, (1, "item"): 2, (1, "code"): 1, (1, "formula"): 1, (4, "heading"): 1, (4, "item"): 2, (4, "code"): 1, (5, "heading"): 1, (5, "code"): 1}
     text = {r["article_id"]: r["text"] for r in markup.texts(df).collect()}
-    assert "# A" in text[1] and "- one item here" in text[1] and "$x$" in text[1] and "old" not in text[1]
+    assert "## A" in text[1] and "  - two more items" in text[1] and "- one item here" in text[1] and "$x$" in text[1] and "old" not in text[1]
+
+
+def test_markup_without_bounds():
+    model = markup.trained()
+    deep = "{{Outer|x={{mid|y={{inner|z={{last|{a}}}}}}}}}"
+    assert markup.clean_text(f"== A ==\n\nBefore {deep} behind.\n\n{{{{Tmpl|a|{{{{b|{{{{c}}}}}}}}}}}} end.", model).replace("  ", " ").startswith("## A\nBefore behind.")
+    assert "{{never closed" in markup.clean_text("Text {{never closed and so on", model)
+    mathml = "<mrow>" + "<mi>x</mi>" * 3000 + "</mrow>"
+    page = f'<p>So <span class="mwe-math-element"><span style="display: none;"><math><semantics>{mathml}<annotation encoding="application/x-tex">x^2</annotation></semantics></math></span></span> and <span class="mwe-math-element"><math></math></span> hold, <span class="mwe-math-element"><math alttext="y"></math></span>.</p>'
+    assert "$x^2$ and $$ hold, $y$" in markup.clean_text(page, model)
+
+
+def test_markup_structure():
+    model = markup.trained()
+    html = "<div><h2>One part</h2><p>The mill near Alda was rebuilt in 1900.</p><h3>Sub part</h3><ol><li>first mill<li>second mill<ul><li>deep river</li></ul><li>third mill</ol></div>"
+    assert [x for x in markup.clean_text(html, model).split("\n") if x.strip()[:1] in "#-123456789"] == ["## One part", "### Sub part", "1. first mill", "2. second mill", "  - deep river", "3. third mill"]
 
 
 # -- packing and mixing ------------------------------------------------------------------------------------
