@@ -25,8 +25,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """All articles in pieces of at most 512 tokens, by token offset."""
-    return split.pieces(split.article_lengths(table(spark, d, "articles")))
+    """All articles in pieces of at most 512 tokens, by token offset and with their words."""
+    return split.article_pieces(table(spark, d, "articles"))
 
 
 @query
@@ -100,3 +100,17 @@ sent AS (SELECT article_id, unnest(tokens) AS s, unnest(range(len(tokens))) AS s
 n AS (SELECT article_id, sent_no, len(list_filter(coalesce(s, []), lambda t: t IS NOT NULL AND NOT regexp_matches(t, '^[\s\p{Z}\x{0085}\x{001c}-\x{001f}]*$'))) AS n FROM sent)
 SELECT DISTINCT article_id, CAST(sent_no AS INTEGER) AS sent_no FROM n WHERE n > 512
 UNION ALL SELECT article_id, -1 FROM n GROUP BY article_id HAVING sum(n) > 512"""
+
+_BLANK = r"^[\s\p{Z}\x{0085}\x{001c}-\x{001f}]*$"
+ORACLES["p3_pieces"] = rf"""
+WITH RECURSIVE real AS (SELECT article_id, ingested_at, list_transform(coalesce(tokens, []), lambda s: list_filter(coalesce(s, []), lambda t: t IS NOT NULL AND NOT regexp_matches(t, '{_BLANK}'))) AS toks FROM articles WHERE article_id IS NOT NULL),
+latest AS (SELECT article_id, toks FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY ingested_at DESC, list_transform(toks, lambda s: len(s)) DESC) AS rn FROM real) WHERE rn = 1),
+lens AS (SELECT article_id, flatten(toks) AS words, len(flatten(toks)) AS total, list_transform(range(1, len(toks) + 1), lambda i: CAST(list_sum(list_transform(toks[1:i], lambda s: len(s))) AS BIGINT)) AS ends FROM latest),
+walk AS (
+  SELECT article_id, words, total, ends, 0 AS piece, CAST(0 AS BIGINT) AS b, coalesce(list_max(list_filter(ends, lambda x: x > 0 AND x <= 512)), least(512, total)) AS e FROM lens WHERE total > 0
+  UNION ALL
+  SELECT article_id, words, total, ends, piece + 1, s, CASE WHEN last > e THEN last ELSE least(s + 512, total) END
+  FROM (SELECT *, coalesce(list_max(list_filter(ends, lambda x: x <= s + 512)), 0) AS last
+    FROM (SELECT *, e - least(e - coalesce(list_max(list_filter(ends, lambda x: x < e)), 0), 32) AS s FROM walk WHERE e < total)))
+SELECT article_id, CAST(piece AS INTEGER) AS piece, b AS "start", CAST(e AS BIGINT) AS "end", CAST(len(list_filter(ends, lambda x: x <= b)) AS INTEGER) AS first_sentence, CAST(len(list_filter(ends, lambda x: x < e)) AS INTEGER) AS last_sentence,
+  array_to_string(words[b + 1:e], ' ') AS text FROM walk"""

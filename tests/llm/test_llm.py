@@ -36,9 +36,11 @@ def test_pieces_whole_and_in_ranges(spark):
     rng = random.Random(2)
     docs = [(i, [rng.choice([0, 1, 3, 7, 20, 30, 45]) for _ in range(rng.randint(0, 90))]) for i in range(40)] + [(99, [200, 0, 5, 90]), (100, []), (101, [0, 0])]
     df = spark.createDataFrame(docs, "article_id long, lens array<int>")
-    for span in (1 << 16, 64):
+    sentences = df.select("article_id", F.posexplode("lens").alias("sent", "n"))
+    cuts = [split.pieces(df, limit=40, overlap=8, span=1 << 16), split.pieces(df, limit=40, overlap=8, span=64), split.range_pieces(split.ranges_of_sentences(sentences, 40, 8, 64), 40, 8, 64)]
+    for span, cut in enumerate(cuts):
         got = {}
-        for r in split.pieces(df, limit=40, overlap=8, span=span).collect():
+        for r in cut.collect():
             got.setdefault(r["article_id"], []).append((r["piece"], r["start"], r["end"], r["first_sentence"], r["last_sentence"]))
         for key, lens in docs:
             rows = sorted(got.get(key, []))
@@ -57,6 +59,35 @@ def test_oversized(spark):
     assert {tuple(r) for r in split.oversized(split.article_lengths(df)).collect()} == {(1, -1), (2, -1), (2, 0)}
 
 
+def test_files_by_byte_ranges(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcü", k=rng.randint(1, 6)))
+    texts = {}
+    for name in ("a", "b", "c"):
+        parts = [" ".join(word() for _ in range(rng.choice([1, 3, 9, 60]))) + rng.choice([". ", "!\n", "\n", '?" ', "\n\n", "... "]) for _ in range(120)]
+        texts[name] = "".join(parts)
+        (tmp_path / name).write_text(texts[name], encoding="utf-8")
+    (tmp_path / "empty").write_text("")
+    want = {}
+    for name, text in texts.items():
+        data, at = text.encode(), 0
+        while at < len(data):
+            m = split._FILE_END.search(data, at)
+            end = m.end() if m else len(data)
+            want.setdefault(name, []).append((at, len(data[at:end].split())))
+            at = end
+    for size in (97, 1 << 20):
+        got = {}
+        for r in split.file_sentences(spark, str(tmp_path), range_bytes=size, chunk=16).orderBy("path", "sent").collect():
+            got.setdefault(r["path"][-1], []).append((r["sent"], r["byte"], r["n"]))
+        assert {k: [(b, n) for _, b, n in v] for k, v in got.items()} == want
+        assert all([s for s, _, _ in v] == list(range(len(v))) for v in got.values())
+    cut = {}
+    for r in split.file_pieces(spark, str(tmp_path), 40, 8, span=64, range_bytes=97).orderBy("path", "piece").collect():
+        cut.setdefault(r["path"][-1], []).append((r["start"], r["end"]))
+    assert cut == {k: brute_pieces([n for _, n in v], 40, 8) for k, v in want.items()}
+
+
 # -- groups ------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("shape", ["random", "path", "star"])
 def test_components(spark, shape):
