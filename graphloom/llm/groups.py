@@ -1,10 +1,11 @@
 """Connected groups of pairwise matches on a two-dimensional grid (problem 4).
 
-Vertices are hashed into ``blocks`` blocks; the edge (u, v) belongs to the partition (block of u, block of v)
-of a grid. Every partition runs a union-find over its own edges and keeps a spanning star of each local
-group, so it hands on at most as many edges as it has vertices, however many pairs it got. Rows and columns
-then exchange representatives: a vertex takes the least one that any partition found for it, and the edges
-left between representatives go through the grid again until no parent changes.
+Pairs are contracted where they lie, before anything is shuffled: every task runs a union-find over its pairs
+and hands on one spanning star per local group, at most as many edges as it has vertices. Vertices are then
+hashed into blocks; the edge (u, v) belongs to the partition (block of u, block of v) of a grid, whose side
+follows the number of edges so that a partition holds ``cell`` of them. Every partition runs a union-find again.
+Rows and columns exchange representatives: a vertex takes the least one that any partition found for it, and
+the edges left between representatives go through the (smaller) grid again until no parent changes.
 
 Defined cases
 * the group of a vertex is named by its least member; a vertex without partner is its own group
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, salted_join, shuffle_partitions
+from ..session import cut_lineage, salted_join
 
 
 def local_union_find(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -44,8 +45,8 @@ def local_union_find(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return parent
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """Spanning stars (u = least member, v = member) of a table of edges."""
+def _stars(table: pa.Table, loops: bool) -> pa.Table:
+    """Spanning stars (u = least member, v = member) of a table of edges; with ``loops`` also (u, u), so that every vertex is a v."""
     both = pa.chunked_array([*table["u"].chunks, *table["v"].chunks]).combine_chunks()
     coded = both.dictionary_encode()
     order = pc.array_sort_indices(coded.dictionary).to_numpy()
@@ -54,34 +55,58 @@ def _stars(table: pa.Table) -> pa.Table:
     codes = rank[coded.indices.to_numpy()]
     names = coded.dictionary.take(pa.array(order))
     parent = local_union_find(codes[: table.num_rows], codes[table.num_rows :], len(names))
-    member = np.flatnonzero(parent != np.arange(len(names)))
+    member = np.arange(len(names)) if loops else np.flatnonzero(parent != np.arange(len(names)))
     return pa.table({"u": names.take(pa.array(parent[member])), "v": names.take(pa.array(member))})
 
 
-def _contract(batches: Iterator[pa.RecordBatch], chunk: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Stars of one grid partition. Edges come in chunks and only stars are kept, so memory follows the vertices."""
+def _contract(loops: bool, chunk: int = 500_000):
+    """Stars of one partition. Edges come in chunks and only stars are kept, so memory follows the vertices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, kept = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= max(chunk, 2 * kept):
+                stars = _stars(pa.Table.from_batches(held), loops)
+                held, rows, kept = stars.to_batches(), stars.num_rows, stars.num_rows
+        if rows:
+            yield from _stars(pa.Table.from_batches(held), loops).to_batches(max_chunksize=65536)
+
+    return run
+
+
+def _local(batches: Iterator[pa.RecordBatch], chunk: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Stars of stretches of at most ``chunk`` pairs, with loops: bounded memory, as the pairs of a task are not."""
     held, rows = [], 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
         if rows >= chunk:
-            stars = _stars(pa.Table.from_batches(held))
-            held, rows = stars.to_batches(), 0
-    if held:
-        yield from _stars(pa.Table.from_batches(held)).to_batches(max_chunksize=65536)
+            yield from _stars(pa.Table.from_batches(held), True).to_batches(max_chunksize=65536)
+            held, rows = [], 0
+    if rows:
+        yield from _stars(pa.Table.from_batches(held), True).to_batches(max_chunksize=65536)
 
 
-def components(pairs: DataFrame, u: str, v: str, blocks: int | None = None, max_rounds: int = 50) -> DataFrame:
-    """(vertex, group) for every vertex of ``pairs``. ``blocks`` squared partitions make up the grid."""
-    side = blocks or max(2, int(np.ceil(np.sqrt(shuffle_partitions(pairs.sparkSession)))))
+def components(pairs: DataFrame, u: str, v: str, blocks: int | None = None, max_rounds: int = 50, cell: int = 250_000) -> DataFrame:
+    """(vertex, group) for every vertex of ``pairs``. ``blocks`` squared partitions make up the grid; None: by ``cell`` edges each."""
     kind = dict(pairs.dtypes)[u]
+    ddl = f"u {kind}, v {kind}"
     named = pairs.select(F.col(u).alias("u"), F.col(v).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
-    edges, labels = named.where(F.col("u") != F.col("v")), None
+    local = cut_lineage(named.mapInArrow(_local, ddl))
+    edges, labels = local.where(F.col("u") != F.col("v")), None
     for _ in range(max_rounds):
+        side = blocks or max(1, int(np.ceil(np.sqrt(edges.count() / cell))))
         block = [F.pmod(F.xxhash64(c), F.lit(side)) for c in ("u", "v")]
-        stars = cut_lineage(edges.repartition(side * side, *block).mapInArrow(_contract, f"u {kind}, v {kind}"))
+        place = (block[0] * side + block[1]).cast("int")
+        stars = cut_lineage(edges.repartitionById(side * side, place).mapInArrow(_contract(False), ddl))
         # exchange along rows and columns: a vertex takes the least representative that any partition found
-        roots = _flatten(cut_lineage(stars.groupBy("v").agg(F.min("u").alias("p"))))
+        roots = stars.groupBy("v").agg(F.min("u").alias("p"))
+        if side == 1:  # one partition saw every edge left
+            labels = roots if labels is None else labels.unionByName(roots)
+            break
+        roots = _flatten(cut_lineage(roots))
         labels = roots if labels is None else labels.unionByName(roots)
         # what links two different roots is an edge of the next, smaller graph; a vertex stands in at most one
         # star per partition, and a representative of very many members is reduced before it is looked up
@@ -94,8 +119,7 @@ def components(pairs: DataFrame, u: str, v: str, blocks: int | None = None, max_
     else:
         raise RuntimeError(f"parents still change after {max_rounds} rounds")
     labels = _flatten(labels).select(F.col("v").alias("vertex"), "p")
-    alone = named.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
-    return alone.join(labels, "vertex", "left").select("vertex", F.coalesce("p", "vertex").alias("group"))
+    return local.select(F.col("v").alias("vertex")).distinct().join(labels, "vertex", "left").select("vertex", F.coalesce("p", "vertex").alias("group"))
 
 
 def _flatten(labels: DataFrame) -> DataFrame:
@@ -117,24 +141,21 @@ def mention_pairs(articles: DataFrame) -> DataFrame:
     """
     cluster = articles.where(F.col("article_id").isNotNull()).select("article_id", F.explode("clusters").alias("c"))
     clean = F.filter("c", lambda m: m.isNotNull() & m["start"].isNotNull() & m["end"].isNotNull())
-    cluster = cluster.select("article_id", clean.alias("c")).where(F.size("c") > 0)
-    member = cluster.select("article_id", F.array_min("c").alias("first"), F.explode(F.array_distinct("c")).alias("m"))
-    return member.select(mention_key("article_id", "first").alias("u"), mention_key("article_id", "m").alias("v")).distinct()
-
-
-_SHIFT = 10**9
+    keyed = F.transform(clean, lambda m: mention_key(F.col("article_id"), m))
+    cluster = cluster.select(keyed.alias("c")).where(F.size("c") > 0)
+    return cluster.select(F.array_min("c").alias("u"), F.explode("c").alias("v"))
 
 
-def mention_key(article: str, mention: str) -> Column:
-    """Text that sorts as (article, start, end): fixed-width digits, offset so that negative numbers sort too."""
-    pad = lambda c, add, width: F.lpad((F.col(c).cast("decimal(20,0)") + F.lit(str(add)).cast("decimal(20,0)")).cast("string"), width, "0")
-    return F.concat_ws(":", pad(article, 2**63, 20), pad(f"{mention}.start", _SHIFT * 3, 10), pad(f"{mention}.end", _SHIFT * 3, 10))
+def mention_key(article: Column, mention: Column) -> Column:
+    """16 bytes that sort as (article, start, end): big-endian integers, moved so that negative ones sort too."""
+    short = lambda c: F.lpad(F.hex(c.cast("long") + F.lit(1 << 31)), 8, "0")
+    return F.unhex(F.concat(F.lpad(F.hex(article.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), short(mention["start"]), short(mention["end"])))
 
 
 def read_key(c: Column) -> tuple[Column, Column, Column]:
     """(article_id, start, end) of a mention key."""
-    part = lambda i, add, kind: (F.split_part(c, F.lit(":"), F.lit(i)).cast("decimal(20,0)") - F.lit(str(add)).cast("decimal(20,0)")).cast(kind)
-    return part(1, 2**63, "long"), part(2, _SHIFT * 3, "int"), part(3, _SHIFT * 3, "int")
+    number = lambda at, n, off, kind: (F.conv(F.substring(F.hex(c), at, n), 16, 10).cast("decimal(20,0)") - F.lit(str(off)).cast("decimal(20,0)")).cast(kind)
+    return number(1, 16, 1 << 63, "long"), number(17, 8, 1 << 31, "int"), number(25, 8, 1 << 31, "int")
 
 
 def mention_groups(articles: DataFrame) -> DataFrame:

@@ -114,3 +114,13 @@ walk AS (
     FROM (SELECT *, e - least(e - coalesce(list_max(list_filter(ends, lambda x: x < e)), 0), 32) AS s FROM walk WHERE e < total)))
 SELECT article_id, CAST(piece AS INTEGER) AS piece, b AS "start", CAST(e AS BIGINT) AS "end", CAST(len(list_filter(ends, lambda x: x <= b)) AS INTEGER) AS first_sentence, CAST(len(list_filter(ends, lambda x: x < e)) AS INTEGER) AS last_sentence,
   array_to_string(words[b + 1:e], ' ') AS text FROM walk"""
+
+# labels go round until nothing changes, in at most as many rounds as an article has clusters
+ORACLES["p4_found"] = """
+WITH RECURSIVE c AS (SELECT article_id, row_number() OVER () AS cno, unnest(c) AS m FROM (SELECT article_id, unnest(clusters) AS c FROM articles WHERE article_id IS NOT NULL)),
+m AS (SELECT DISTINCT article_id, cno, m.start AS s, m.end AS e FROM c WHERE m.start IS NOT NULL AND m.end IS NOT NULL),
+near AS (SELECT DISTINCT a.article_id, a.cno AS x, b.cno AS y FROM m a JOIN m b ON a.article_id = b.article_id AND a.s = b.s AND a.e = b.e),
+reach AS (SELECT article_id, x, y FROM near UNION SELECT r.article_id, r.x, n.y FROM reach r JOIN near n ON n.article_id = r.article_id AND n.x = r.y),
+root AS (SELECT x, min(y) AS root FROM reach GROUP BY x),
+g AS (SELECT DISTINCT m.article_id, root.root, s, e FROM m JOIN root ON root.x = m.cno)
+SELECT article_id, s AS m_start, e AS m_end, first_value(s) OVER w AS g_start, first_value(e) OVER w AS g_end FROM g WINDOW w AS (PARTITION BY article_id, root ORDER BY s, e)"""

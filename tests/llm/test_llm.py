@@ -90,7 +90,8 @@ def test_files_by_byte_ranges(spark, tmp_path):
 
 # -- groups ------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("shape", ["random", "path", "star"])
-def test_components(spark, shape):
+@pytest.mark.parametrize("blocks", [None, 3])
+def test_components(spark, shape, blocks):
     rng = random.Random(1)
     if shape == "random":
         pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(7, 7), (500, 500), (None, 3), (4, None)] + [(1, 2)] * 5
@@ -99,7 +100,7 @@ def test_components(spark, shape):
         pairs = list(zip(names, names[1:]))
     else:
         pairs = [(999, i) for i in range(200)]
-    got = {r["vertex"]: r["group"] for r in groups.components(spark.createDataFrame(pairs, "a long, b long"), "a", "b", blocks=3).collect()}
+    got = {r["vertex"]: r["group"] for r in groups.components(spark.createDataFrame(pairs, "a long, b long").repartition(4), "a", "b", blocks=blocks).collect()}
     parent = {}
 
     def find(x):
