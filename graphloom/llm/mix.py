@@ -1,11 +1,13 @@
 """Mixing sources to target shares of all tokens (problem 9).
 
-Entropy balancing: among all document rates whose token totals per source meet the targets, the one nearest
-to equal rates (in relative entropy, each token weighing the same) is an exponential tilt, rate = exp(lambda of
-the source). The convex dual is solved by damped Newton steps; gradient and Hessian of each step come from
-one distributed aggregate over (source, length) classes, and only they reach the driver (one number per
-source of the target table). The mixture is the largest in which no source needs more than its
-``max_repeats`` copies of a text, so every share is met by all of its source's tokens.
+Entropy balancing over documents: of all rates that give every source its tokens, those nearest to one copy
+per document (in relative entropy) are taken, no rate above the source's ``max_repeats``. They are exponential
+tilts of the documents' own sizes, rate = min(max_repeats, exp(lambda of the source x tokens / mean tokens)):
+small texts stay near one copy, large ones bear most of the change, and a rate at the cap stays there. The
+convex dual is solved by Newton steps kept within a bracket; gradient and curvature of a step come from one
+distributed aggregate over (source, length) classes, and only they reach the driver (one row per source of the
+target table). The mixture is the largest in which no source needs more than ``max_repeats`` copies of every text,
+so every share is met by all of its source's tokens; the source that binds has all its rates at the cap.
 
 Rates become copies by systematic rounding along the documents of a source in order of length, so a
 document has floor(rate) or ceil(rate) copies and a source's tokens are off by about one text; single copies
@@ -38,36 +40,49 @@ def clean_targets(targets: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.*")
 
 
-def solve_dual(classes: DataFrame, targets: dict[str, tuple[float, int]], size: float | None = None, tolerance: float = 1e-10, max_steps: int = 60) -> dict[str, float]:
-    """Rate per source. ``classes``: (source, n_tokens, docs). One aggregate per Newton step.
+def _tilt(tilts: dict[str, tuple[float, float, float]]) -> Column:
+    """Rate of a document (source, n_tokens), for tilts (lambda, mean tokens, cap) of its source; an infinite lambda is the cap."""
+    pick = lambda k: F.create_map(*[F.lit(x) for s, t in tilts.items() for x in (s, float(t[k]))])[F.col("source")]
+    return F.least(pick(2), F.exp(pick(0) * F.col("n_tokens") / pick(1)))
 
-    ``size``: tokens of the mixture; by default the largest that max_repeats allows, and never more.
+
+def solve_dual(classes: DataFrame, targets: dict[str, tuple[float, int]], size: float | None = None, tolerance: float = 1e-7, max_steps: int = 100) -> dict[str, tuple[float, float, float]]:
+    """(lambda, mean tokens, cap) per source. ``classes``: (source, n_tokens, docs). One aggregate per step for all sources.
+
+    ``size``: tokens of the mixture; by default the largest that max_repeats allows, and never more. Raises if
+    the steps don't converge.
     """
-    names = sorted(targets)
-    have = {r["source"]: float(r["t"]) for r in classes.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("t")).collect() if r["source"] in targets}
-    names = [s for s in names if have.get(s, 0) > 0]
-    if not names:
+    total = classes.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("t"), F.sum("docs").alias("n")).collect()
+    have = {r["source"]: (float(r["t"]), float(r["t"]) / r["n"]) for r in total if r["source"] in targets and r["t"]}
+    if not have:
         return {}
-    share = np.array([targets[s][0] for s in names])
-    share = share / share.sum()
-    most = min(targets[s][1] * have[s] / p for s, p in zip(names, share))
-    want = share * (most if size is None else min(size, most))
-    lam = np.zeros(len(names))
-
-    def step_sums(lam: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and curvature per source at lambda. Sources share no document, so the Hessian is diagonal."""
-        rate = F.create_map(*[x for s, v in zip(names, lam) for x in (F.lit(s), F.lit(float(np.exp(v))))])[F.col("source")]
-        weight = F.col("n_tokens") * F.col("docs") * rate
-        got = {r["source"]: r for r in classes.where(F.col("source").isin(names)).groupBy("source").agg(F.sum(weight).alias("g"), F.sum(weight).alias("h")).collect()}
-        return np.array([got[s]["g"] for s in names]), np.array([got[s]["h"] for s in names])
-
+    whole = sum(targets[s][0] for s in have)
+    most = min(targets[s][1] * t * whole / targets[s][0] for s, (t, _) in have.items())
+    want = {s: targets[s][0] / whole * (most if size is None else min(size, most)) for s in have}
+    cap = {s: float(targets[s][1]) for s in have}
+    lam = {s: float("inf") if want[s] >= cap[s] * t * (1 - 1e-12) else float(np.log(want[s] / t)) for s, (t, _) in have.items()}
+    low, high = dict.fromkeys(have, -float("inf")), dict.fromkeys(have, float("inf"))
     for _ in range(max_steps):
-        g, h = step_sums(lam)
-        off = want - g
-        if np.abs(off).max() <= tolerance * want.sum():
-            break
-        lam = lam + np.clip(off / h, -2.0, 2.0)
-    return {s: float(np.exp(v)) for s, v in zip(names, lam)}
+        tilts = {s: (lam[s], have[s][1], cap[s]) for s in have}
+        rate = F.col("docs") * F.col("rate") * F.col("n_tokens")
+        mean = F.create_map(*[F.lit(x) for s in have for x in (s, have[s][1])])[F.col("source")]
+        capped = F.create_map(*[F.lit(x) for s in have for x in (s, cap[s])])[F.col("source")]
+        rows = classes.where(F.col("source").isin(list(have))).withColumn("rate", _tilt(tilts))
+        sums = {r["source"]: r for r in rows.groupBy("source").agg(F.sum(rate).alias("g"), F.sum(F.when(F.col("rate") < capped, rate * F.col("n_tokens") / mean).otherwise(0.0)).alias("h")).collect()}
+        done = True
+        for s in have:
+            off = want[s] - sums[s]["g"]
+            if np.isinf(lam[s]) or abs(off) <= tolerance * want[s]:
+                continue
+            done = False
+            low[s], high[s] = (lam[s], high[s]) if off > 0 else (low[s], lam[s])
+            step = lam[s] + off / sums[s]["h"] if sums[s]["h"] > 0 else float("inf")
+            if not low[s] < step < high[s]:  # outside of what is known: halve, or look farther
+                step = (low[s] + high[s]) / 2 if np.isfinite(low[s]) and np.isfinite(high[s]) else lam[s] + (1.0 if off > 0 else -1.0) * max(1.0, abs(lam[s]))
+            lam[s] = step
+        if done:
+            return tilts
+    raise RuntimeError(f"rates still change after {max_steps} steps")
 
 
 def mixture(docs: DataFrame, targets: DataFrame, size: float | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -77,12 +92,11 @@ def mixture(docs: DataFrame, targets: DataFrame, size: float | None = None, voca
     sized = count_tokens(docs.select("doc_id", source_key(F.col("source")).alias("source"), "text"), ["doc_id", "source"], path=vocabulary)
     sized = cut_lineage(sized.where(F.col("source").isin(list(goal)) & (F.col("n_tokens") > 0)))
     classes = cut_lineage(sized.groupBy("source", "n_tokens").agg(F.count("*").alias("docs")))
-    rates = solve_dual(classes, goal, size)
-    if not rates:
+    tilts = solve_dual(classes, goal, size)
+    if not tilts:
         return sized.select("doc_id", "source", "n_tokens", F.lit(0.0).alias("rate"), F.lit(0).alias("copies")).limit(0)
-    rate = F.create_map(*[F.lit(x) for s, v in rates.items() for x in (s, min(v, float(goal[s][1])))])[F.col("source")]
     cap = F.create_map(*[F.lit(x) for s, (_, most) in goal.items() for x in (s, most)])[F.col("source")]
-    rounded = cut_lineage(_round(sized.withColumn("rate", rate).where("rate > 0").withColumn("cap", cap)))
+    rounded = cut_lineage(_round(sized.withColumn("rate", _tilt(tilts)).where("rate > 0").withColumn("cap", cap)))
     return _settle(rounded).where("copies > 0").drop("cap")
 
 

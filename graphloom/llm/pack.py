@@ -4,6 +4,7 @@ A text longer than a container fills whole containers, and its rest is packed li
 are dealt to shards by hash, so each shard sees the same mix of lengths; within a shard a vector best-fit
 in decreasing order puts every piece into the open container that it leaves with the smallest weighted
 residual norm over three capacities (tokens, pieces, attention cost), among those where all three suffice.
+A piece that alone costs more attention than the budget has a container of its own.
 Shards have a fixed size, so work grows with the data and the space lost is at most about one container in
 a shard of many thousand pieces.
 
@@ -31,8 +32,9 @@ class Capacity:
     tokens: int = 2048
     #: pieces in one container
     pieces: int = 512
-    #: sum of squared piece lengths; the square of the token capacity never binds
-    attention: int = 2048 * 2048
+    #: sum of squared piece lengths. Below the square of the token capacity it keeps nearly full pieces from being
+    #: filled up; a piece that alone costs more has a container of its own, as it must not be divided
+    attention: int = 2048 * 2048 * 7 // 8
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
 
 
@@ -46,6 +48,9 @@ def vector_best_fit(sizes: np.ndarray, cap: Capacity) -> np.ndarray:
     n_open = total = 0
     least = sizes.min() if len(sizes) else 0
     for i, size in enumerate(sizes):
+        if size * size > cap.attention:
+            placed[i], total = total, total + 1
+            continue
         need = np.array([size, 1, size * size], dtype=float)
         left = free[:, :n_open] - need[:, None]
         fits = (left >= 0).all(axis=0)

@@ -180,6 +180,56 @@ def test_tokens_agree_with_the_other_library():
         assert tokens.encoder().encode_ordinary(t) == other.encode(t, add_special_tokens=False).ids
 
 
+def test_vector_best_fit_against_brute_force():
+    import itertools
+
+    import numpy as np
+
+    def naive(sizes, cap):
+        """Every open container is tried in plain loops."""
+        bins, out = [], []
+        for n in sizes:
+            best = None
+            for k, b in enumerate(bins):
+                t, c, a = cap.tokens - sum(b) - n, cap.pieces - len(b) - 1, cap.attention - sum(x * x for x in b) - n * n
+                if min(t, c, a) >= 0 and n * n <= cap.attention:
+                    norm = cap.weights[0] * (t / cap.tokens) ** 2 + cap.weights[1] * (c / cap.pieces) ** 2 + cap.weights[2] * (a / cap.attention) ** 2
+                    if best is None or norm < best[0] - 1e-12:
+                        best = (norm, k)
+            if best is None:
+                bins.append([])
+                best = (0, len(bins) - 1)
+            bins[best[1]].append(n)
+            out.append(best[1])
+        return out, bins
+
+    def fewest(sizes, cap):
+        """Least number of containers over all ways to deal the pieces."""
+        for k in range(1, len(sizes) + 1):
+            for deal in itertools.product(range(k), repeat=len(sizes)):
+                bins = [[n for n, d in zip(sizes, deal) if d == j] for j in range(k)]
+                if all(sum(b) <= cap.tokens and len(b) <= cap.pieces and (sum(n * n for n in b) <= cap.attention or len(b) == 1) for b in bins):
+                    return k
+
+    rng = random.Random(3)
+    bound = 0
+    for cap in (pack.Capacity(100, 4, 5000), pack.Capacity(100, 3, 100 * 100), pack.Capacity(64, 8, 64 * 64 * 7 // 8)):
+        for _ in range(12):
+            sizes = sorted((rng.randint(1, cap.tokens) for _ in range(6)), reverse=True)
+            got = pack.vector_best_fit(np.array(sizes), cap)
+            bins = {}
+            for n, k in zip(sizes, got):
+                bins.setdefault(k, []).append(n)
+            want, _ = naive(sizes, cap)
+            canon = lambda x: [list(dict.fromkeys(x)).index(v) for v in x]
+            assert canon(list(got)) == canon(want), (cap, sizes)
+            assert all(sum(b) <= cap.tokens and len(b) <= cap.pieces and (sum(n * n for n in b) <= cap.attention or len(b) == 1) for b in bins.values())
+            assert len(bins) <= fewest(sizes, cap) + 1
+            free = pack.Capacity(cap.tokens, cap.pieces, cap.tokens**2)
+            bound += canon(list(got)) != canon(list(pack.vector_best_fit(np.array(sizes), free)))
+    assert bound > 0  # the attention budget does decide
+
+
 @needs_vocabulary
 def test_packing(spark):
     rng = random.Random(8)
@@ -220,6 +270,12 @@ def test_mixing(spark):
     small = sum(len(tokens.encoder().encode_ordinary(t)) for _, s, t in rows if s and s.strip() == "small" and t)
     big = sum(len(tokens.encoder().encode_ordinary(t)) for _, s, t in rows if s and s.lower().startswith("big"))
     assert report["small"]["tokens"] + report["big_one"]["tokens"] == pytest.approx(min(3 * small / 0.75, big / 0.25), rel=0.01)
+    # rates are tilted by the document: within a source they grow or fall with its size, up to the cap
+    rows = sorted((r["n_tokens"], r["rate"]) for r in mixed.where("source = 'small'").collect())
+    assert all(r <= 3 for _, r in rows) and all(a[1] <= b[1] + 1e-9 for a, b in zip(rows, rows[1:])) and rows[0][1] <= rows[-1][1]
+    half = mix.mixture(docs, goals, size=sum(r["tokens"] for r in report.values()) / 4)
+    rates = sorted((r["n_tokens"], r["rate"]) for r in half.where("source = 'small'").collect())
+    assert rates[0][1] != rates[-1][1] and all(0 < r <= 3 for _, r in rates)
     assert mix.mixture(docs.limit(0), goals).count() == 0 and mix.mixture(docs, goals.limit(0)).count() == 0
 
 
