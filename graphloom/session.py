@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -52,13 +53,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """``checkpoint()`` into the folder that the session names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (tests, laptops).
+    A folder of our own is set only where the session names none and runs on this machine alone (tests, laptops).
     """
-    sc = df.sparkSession.sparkContext
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-ckpt-"))
-    return df.checkpoint(eager=eager)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """The rows, written once as a table in the checkpoint folder, in partitions by the given columns, so that a part can be read alone."""
+    path = f"{_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

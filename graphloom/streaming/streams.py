@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import documents
-from ..operators.orphans import REFERENCE, OrphanState, advance
+from ..operators.orphans import REFERENCE, OrphanState, advance, initial_state
 from ..sources.readers import CLUSTERS
 
 
@@ -21,7 +21,7 @@ def orphan_stream(spark: SparkSession, source: str, ddl: str, state_dir: str, ch
     """Keeps the orphan state under ``state_dir`` up to date with arriving references and parent changes.
 
     Every batch writes its state under its own number and reads the one before it, so a repeated batch
-    gives the same state.
+    gives the same state; what it settles and how the open counts change is written beside it, once.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -31,10 +31,9 @@ def orphan_stream(spark: SparkSession, source: str, ddl: str, state_dir: str, ch
         if number:
             state = OrphanState(s.read.parquet(f"{state_dir}/{number - 1}/parents"), s.read.parquet(f"{state_dir}/{number - 1}/waiting"))
         else:
-            state = OrphanState(s.createDataFrame([], "target string, created long, live long"), refs.limit(0))
-        state, settled = advance(state, refs, changes)
-        done = settled if not number else settled.unionByName(s.read.parquet(f"{state_dir}/{number - 1}/settled"))
-        for name, df in (("parents", state.parents), ("waiting", state.waiting), ("settled", done)):
+            state = initial_state(refs, s.createDataFrame([], "id string"))
+        found = advance(state, refs, changes)
+        for name, df in (("parents", found.state.parents), ("waiting", found.state.waiting), ("settled", found.settled), ("flows", found.flows)):
             df.write.mode("overwrite").parquet(f"{state_dir}/{number}/{name}")
         s.createDataFrame([(number,)], "n long").write.mode("append").parquet(f"{state_dir}/batches")
 
@@ -42,7 +41,10 @@ def orphan_stream(spark: SparkSession, source: str, ddl: str, state_dir: str, ch
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_orphans(spark: SparkSession, state_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(settled, waiting) after the last batch."""
+def read_orphans(spark: SparkSession, state_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(settled, waiting, open references per table and month) after the last batch."""
     last = spark.read.parquet(f"{state_dir}/batches").agg(F.max("n")).first()[0]
-    return spark.read.parquet(f"{state_dir}/{last}/settled"), spark.read.parquet(f"{state_dir}/{last}/waiting")
+    every = lambda name: spark.read.parquet(*[f"{state_dir}/{n}/{name}" for n in range(last + 1)])
+    upto = Window.partitionBy("ref_table").orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = every("flows").groupBy("ref_table", "month").agg(F.sum("opened").alias("opened")).select("ref_table", "month", F.sum("opened").over(upto).alias("open"))
+    return every("settled"), spark.read.parquet(f"{state_dir}/{last}/waiting"), opened

@@ -114,6 +114,29 @@ def test_orphans_against_brute_force(spark, hot):
     assert len(found) == len({tuple(r) for r in found})
 
 
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_deletions_reopen(spark, hot):
+    """What the state and its flows count as open against a count over all references, at every month's end."""
+    rng = random.Random(6)
+    ids = [f"Q{i}" for i in range(8)]
+    spans = [(i, day(c), day(c + rng.randrange(20, 400))) for i in ids[:6] for c in sorted(rng.sample(range(0, 900, 30), 3))] + [("Q5", day(1000), None)]
+    refs = sorted({(k, rng.choice(ids), day(rng.randrange(0, 1000, 40))) for k in range(120)})
+    edges = spark.createDataFrame([reference(k, t, (at - T0).days) for k, t, at in refs], EDGE)
+    ann = spark.createDataFrame([], "article_id long, annotations array<struct<id:string,parent_id:array<string>>>, loaded_at timestamp")
+    alias = spark.createDataFrame(spans, "id string, created_at timestamp, deleted_at timestamp")
+    _, flows, state = orphans.play(orphans.references(edges, ann), alias, spark.createDataFrame([("Q7",)], "id string"), hot)
+
+    alive = lambda target, at: target == "Q7" or sum((c < at) - (d is not None and d < at) for i, c, d in spans if i == target) > 0
+    flow = {r["month"]: r["opened"] for r in flows.where("ref_table = 'relation_db'").collect()}
+    for month in sorted(flow):
+        year, m = map(int, month.split("-"))
+        end = dt.datetime(year + m // 12, m % 12 + 1, 1)
+        assert sum(n for k, n in flow.items() if k <= month) == sum(at < end and not alive(t, end) for _, t, at in refs), month
+    assert any(n < 0 for n in flow.values())
+    now = {r["ref_table"]: r["open"] for r in orphans.open_references(state).collect()}
+    assert now == {"relation_db": sum(not alive(t, day(9999)) for _, t, _ in refs), "annotations": 0}
+
+
 def test_orphans_of_nothing(spark):
     edges = spark.createDataFrame([], EDGE)
     ann = spark.createDataFrame([], "article_id long, annotations array<struct<id:string,parent_id:array<string>>>, loaded_at timestamp")

@@ -320,11 +320,12 @@ def test_streaming(spark, tmp_path):
     assert len(spark.read.parquet(str(tmp_path / "out")).first()["clusters"]) == 1
     t0 = dt.datetime(2024, 1, 1)
     ddl = "kind string, target string, at timestamp, created long, delta long, ref_table string, ref_field string, month string, row_key long"
-    rows = [("ref", "Q1", t0, None, None, "r", "id", "2024-01", 1), ("ref", "Q2", t0, None, None, "r", "id", "2024-01", 2), ("parent", "Q1", t0 + dt.timedelta(1), 1, 1, None, None, None, None)]
+    rows = [("ref", "Q1", t0, None, None, "annotations", "id", "2024-01", 1), ("ref", "Q2", t0, None, None, "annotations", "id", "2024-01", 2), ("parent", "Q1", t0 + dt.timedelta(1), 1, 1, None, None, None, None)]
     for i, part in enumerate((rows[:2], rows[2:])):
         spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
         q = streams.orphan_stream(spark, str(tmp_path / "ev"), ddl, str(tmp_path / "state"), str(tmp_path / "ck2"))
         q.awaitTermination(240)
-        settled, waiting = streams.read_orphans(spark, str(tmp_path / "state"))
+        settled, waiting, opened = streams.read_orphans(spark, str(tmp_path / "state"))
         assert waiting.count() == 2 - i and settled.count() == i
+        assert [tuple(r) for r in opened.where("ref_table = 'annotations'").collect()] == [("annotations", "2024-01", 2 - i)]
     assert settled.first()["reason"] == "late"
