@@ -62,10 +62,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return flat.select("entity_id", "kind", "key1", "pos1", "key2", "pos2").distinct()
 
 
-@query
-def p7_values(spark: SparkSession, d: str) -> DataFrame:
-    """The same rows with their subtype table and value."""
-    return variants.flatten_dump(table(spark, d, "entity_dump"))
+def _subtype(name: str):
+    def table_of(spark: SparkSession, d: str) -> DataFrame:
+        return variants.subtype_table(variants.flatten_dump(table(spark, d, "entity_dump")), name)
+
+    table_of.__name__ = f"p7_{name}"
+    table_of.__doc__ = f"The typed subtype table of {name} rows, under the supertype's keys."
+    return table_of
+
+
+for _name in variants.SUBTYPES:
+    query(_subtype(_name))
 
 
 def _alias_rows() -> str:
@@ -181,3 +188,67 @@ cells AS (
 SELECT DISTINCT article_id, item, field, diff FROM cells WHERE article_id IN (SELECT article_id FROM a) AND article_id IN (SELECT article_id FROM b)
 UNION ALL SELECT article_id, -1, 'row', 'only_a' FROM a WHERE article_id NOT IN (SELECT article_id FROM b)
 UNION ALL SELECT article_id, -1, 'row', 'only_b' FROM b WHERE article_id NOT IN (SELECT article_id FROM a)"""
+
+
+def _decoded(field: str) -> str:
+    """A field of an entity, also where it was stored as JSON text once more."""
+    return f"CASE WHEN json_type({field}) = 'VARCHAR' AND regexp_matches(json_extract_string({field}, '$'), '^\\s*[{{\\[]') THEN TRY_CAST(json_extract_string({field}, '$') AS JSON) ELSE {field} END"
+
+
+def _listed(source: str, field: str, own: str, keep: str, good: str, bad: str) -> str:
+    """Elements of a field in all its shapes: (keep, key, place, x). ``good``: what an element x must be; ``bad``: what spoils its list."""
+    return f"""
+  SELECT {keep}, key, place, x FROM (
+    SELECT {keep}, key, held, unnest(CASE WHEN json_type(held) = 'ARRAY' THEN CAST(held AS JSON[]) ELSE [held] END) AS x,
+      unnest(CASE WHEN json_type(held) = 'ARRAY' THEN range(json_array_length(held)::BIGINT) ELSE [0::BIGINT] END) AS place
+    FROM (SELECT {keep}, unnest(map_keys(m)) AS key, unnest(map_values(m)) AS held FROM (SELECT {keep}, CAST({field} AS MAP(VARCHAR, JSON)) AS m FROM {source} WHERE json_type({field}) = 'OBJECT'))
+    WHERE json_type(held) <> 'ARRAY' OR len(list_filter(CAST(held AS JSON[]), lambda x: {bad})) = 0)
+  WHERE {good}
+  UNION ALL
+  SELECT {keep}, key, row_number() OVER (PARTITION BY {keep}, key ORDER BY i) - 1 AS place, x FROM (
+    SELECT {keep}, i, x, {own} AS key FROM (SELECT {keep}, unnest(CAST({field} AS JSON[])) AS x, unnest(range(json_array_length({field})::BIGINT)) AS i FROM {source} WHERE json_type({field}) = 'ARRAY'
+      AND len(list_filter(CAST({field} AS JSON[]), lambda x: ({bad}) OR json_type(x) = 'VARCHAR')) = 0) WHERE {good}) WHERE key IS NOT NULL"""
+
+
+_IS_TERM = "(json_type(x) = 'VARCHAR' OR (json_type(x, '$.language') = 'VARCHAR' AND json_type(x, '$.value') = 'VARCHAR'))"
+_HAS = lambda key: f"(json_type(x) = 'OBJECT' AND json_exists(x, '$.{key}'))"
+_NONE = "coalesce(json_type(x), 'NULL') <> 'NULL'"
+_NESTED_SQL = rf"""
+WITH lines AS (SELECT line_no, CAST(t AS JSON) AS j FROM (SELECT line_no, trim(regexp_replace(regexp_replace(trim(line), '^\[', ''), ',?\s*\]?,?$', '')) AS t FROM entity_dump) WHERE t LIKE '{{%' AND json_valid(t)),
+ents AS (
+  SELECT line_no, json_extract_string(j, '$.id') AS entity_id, j AS e FROM lines WHERE NOT json_exists(j, '$.entities') AND json_type(j, '$.id') = 'VARCHAR'
+  UNION ALL SELECT line_no, coalesce(nullif(json_extract_string(e, '$.id'), ''), key), e FROM (SELECT line_no, unnest(map_keys(m)) AS key, unnest(map_values(m)) AS e FROM (
+    SELECT line_no, CAST(j->'$.entities' AS MAP(VARCHAR, JSON)) AS m FROM lines WHERE json_type(j, '$.entities') = 'OBJECT')) WHERE json_type(e) = 'OBJECT'
+  UNION ALL SELECT line_no, json_extract_string(e, '$.id'), e FROM (SELECT line_no, unnest(CAST(j->'$.entities' AS JSON[])) AS e FROM lines WHERE json_type(j, '$.entities') = 'ARRAY') WHERE json_type(e, '$.id') = 'VARCHAR'
+), latest AS (SELECT entity_id, e FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY line_no DESC) AS rn FROM ents) WHERE rn = 1 AND NOT json_exists(e, '$.missing')),
+f AS (SELECT entity_id, {_decoded("e->'$.labels'")} AS labels, {_decoded("e->'$.aliases'")} AS aliases, {_decoded("e->'$.claims'")} AS claims FROM latest),
+label AS ({_listed("f", "labels", "json_extract_string(x, '$.language')", "entity_id", f"{_NONE} AND {_IS_TERM} AND json_type(x) <> 'ARRAY'", f"{_NONE} AND NOT coalesce({_IS_TERM}, false)")}),
+alias AS ({_listed("f", "aliases", "json_extract_string(x, '$.language')", "entity_id", f"{_NONE} AND {_IS_TERM}", f"{_NONE} AND NOT coalesce({_IS_TERM}, false)")}),
+claim AS ({_listed("f", "claims", "coalesce(json_extract_string(x, '$.mainsnak.property'), json_extract_string(x, '$.property'))", "entity_id", f"{_NONE} AND {_HAS('mainsnak')}", f"{_NONE} AND NOT coalesce({_HAS('mainsnak')}, false)")}),
+c AS (SELECT entity_id, key AS key1, place AS pos1, x AS claim, {_decoded("x->'$.qualifiers'")} AS q FROM claim),
+qualifier AS ({_listed("c", "q", "json_extract_string(x, '$.property')", "entity_id, key1, pos1", f"{_NONE} AND {_HAS('snaktype')}", f"{_NONE} AND NOT coalesce({_HAS('snaktype')}, false)")}),
+node AS (
+  SELECT entity_id, 'label' AS kind, key AS key1, 0 AS pos1, '' AS key2, 0 AS pos2, x FROM label
+  UNION ALL SELECT entity_id, 'alias', key, place, '', 0, x FROM alias UNION ALL SELECT entity_id, 'claim', key1, pos1, '', 0, claim FROM c
+  UNION ALL SELECT entity_id, 'qualifier', key1, pos1, key, place, x FROM qualifier
+), dated AS (SELECT *, CASE WHEN kind = 'claim' THEN x->'$.mainsnak' ELSE x END AS s, CASE WHEN kind = 'claim' THEN x->'$.mainsnak.datavalue' WHEN kind = 'qualifier' THEN x->'$.datavalue' END AS dv FROM node),
+typed AS (SELECT *, dv->'$.value' AS v, CASE WHEN kind IN ('label', 'alias') THEN 'term' WHEN coalesce(json_type(dv), 'NULL') = 'NULL' THEN 'empty'
+    WHEN json_type(s, '$.snaktype') IS NULL OR coalesce(json_type(dv, '$.type'), '') <> 'VARCHAR' THEN 'other' WHEN json_type(dv, '$.value') = 'VARCHAR' THEN 'text'
+    WHEN json_type(dv, '$.value.id') = 'VARCHAR' AND (json_type(dv, '$.value."entity-type"') = 'VARCHAR' OR json_type(dv, '$.value."numeric-id"') IN ('UBIGINT', 'BIGINT', 'DOUBLE')) THEN 'entity'
+    WHEN json_type(dv, '$.value.time') = 'VARCHAR' THEN 'time' WHEN json_type(dv, '$.value.amount') = 'VARCHAR' THEN 'quantity'
+    WHEN json_type(dv, '$.value.text') = 'VARCHAR' AND json_type(dv, '$.value.language') = 'VARCHAR' THEN 'text'
+    WHEN json_type(dv, '$.value.latitude') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND json_type(dv, '$.value.longitude') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'place' ELSE 'other' END AS subtype FROM dated)
+SELECT DISTINCT entity_id, kind, key1, CAST(pos1 AS INTEGER) AS pos1, key2, CAST(pos2 AS INTEGER) AS pos2"""
+_VALUE_SQL = {
+    "term": "coalesce(json_extract_string(x, '$.value'), json_extract_string(x, '$')) AS text",
+    "entity": "json_extract_string(v, '$.id') AS target",
+    "time": "json_extract_string(v, '$.time') AS time, TRY_CAST(v->>'$.precision' AS INTEGER) AS precision, CASE WHEN json_type(v, '$.calendarmodel') = 'VARCHAR' THEN json_extract_string(v, '$.calendarmodel') END AS calendar",
+    "quantity": "json_extract_string(v, '$.amount') AS amount, CASE WHEN json_type(v, '$.unit') = 'VARCHAR' THEN json_extract_string(v, '$.unit') END AS unit",
+    "text": "CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') ELSE json_extract_string(v, '$.text') END AS text, json_extract_string(v, '$.language') AS language",
+    "place": "CAST(v->>'$.latitude' AS DOUBLE) AS latitude, CAST(v->>'$.longitude' AS DOUBLE) AS longitude",
+    "other": "CAST(dv AS VARCHAR) AS json",
+    "empty": "CASE WHEN json_type(s, '$.snaktype') = 'VARCHAR' THEN json_extract_string(s, '$.snaktype') END AS snaktype",
+}
+ORACLES["p7_found"] = _NESTED_SQL + " FROM typed"
+for _name, _columns in _VALUE_SQL.items():
+    ORACLES[f"p7_{_name}"] = _NESTED_SQL + f", {_columns} FROM typed WHERE subtype = '{_name}'"

@@ -1,6 +1,7 @@
 """The general data problems against brute force and on awkward rows."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -191,3 +192,34 @@ def test_variants(spark):
         ("Q3", "claim", "P1", 0, "", 0), ("Q5", "label", "en", 0, "", 0),
     }
     assert variants.flatten_dump(df.limit(0)).count() == 0
+
+
+def test_automaton_goes_by_children():
+    run = lambda x: variants.TreeAutomaton().run(x)[0]
+    value = {"type": "time", "value": {"time": "+2000", "precision": 9}}
+    assert run(value) == "value<time>" and run({"type": "time", "value": {"when": "+2000"}}) == "map<map<text>|text>"
+    snak = {"snaktype": "value", "property": "P1", "datavalue": value}
+    assert run(snak) == "snak<value<time>>" and run({"snaktype": "novalue"}) == "snak<empty>"
+    assert run({"mainsnak": snak}) == "statement<snak<value<time>>>" and run({"P1": [{"mainsnak": snak}], "P2": [None]}) == "map<list<statement>>"
+    assert run({"language": "en", "value": "x"}) == "term" and run({"language": "en", "value": 3}) == "map<number|text>"
+
+
+def test_subtype_tables(spark, tmp_path):
+    held = [
+        ("entity", {"type": "wikibase-entityid", "value": {"entity-type": "item", "id": "Q9"}}), ("time", {"type": "time", "value": {"time": "+1999-01-01T00:00:00Z", "precision": 11}}),
+        ("quantity", {"type": "quantity", "value": {"amount": "+3", "unit": "1"}}), ("text", {"type": "string", "value": "abc"}), ("text", {"type": "monolingualtext", "value": {"text": "abc", "language": "en"}}),
+        ("place", {"type": "globecoordinate", "value": {"latitude": 1, "longitude": 2.5}}), ("other", {"type": "odd", "value": [1, {"a": "ü"}]}), ("other", {"value": 3}), ("empty", None),
+    ]
+    claims = [{"mainsnak": {"snaktype": "value", "property": "P1", "datavalue": v}, "qualifiers": {"P2": [{"snaktype": "value", "property": "P2", "datavalue": v}]}} for _, v in held]
+    line = json.dumps({"id": "Q1", "labels": {"en": {"language": "en", "value": "A"}}, "claims": {"P1": claims}})
+    flat = variants.flatten_dump(spark.createDataFrame([(1, line)], "line_no long, line string")).cache()
+    tables = {name: variants.subtype_table(flat, name).collect() for name in variants.SUBTYPES}
+    assert {k: len(v) for k, v in tables.items()} == {"term": 1, "entity": 2, "time": 2, "quantity": 2, "text": 4, "place": 2, "other": 4, "empty": 2}
+    assert {tuple(r[:6]) for rows in tables.values() for r in rows} == {tuple(r) for r in flat.select(*variants.KEYS).collect()}
+    # a qualifier is tied to its claim by key1 and pos1
+    claim = {(r["key1"], r["pos1"]): r for rows in tables.values() for r in rows if r["kind"] == "claim"}
+    assert all(claim[r["key1"], r["pos1"]][6:] == r[6:] for rows in tables.values() for r in rows if r["kind"] == "qualifier")
+    assert tables["time"][0][6:] == ("+1999-01-01T00:00:00Z", 11, None) and tables["place"][0][6:] == (1.0, 2.5) and tables["empty"][0][6:] == ("value",)
+    variants.write_subtypes(flat, str(tmp_path / "t"))
+    again = spark.read.parquet(str(tmp_path / "t"))
+    assert again.count() == flat.count() and again.where("subtype = 'time'").select("time", "precision").distinct().collect() == [("+1999-01-01T00:00:00Z", 11)]
