@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import salted_join
+
 # Spellings of units beyond the id, label, symbol and regular plural of the units table.
 EXTRA_ALIASES = {
     "metre": ["meter", "meters", "metres", "mtr", "mètre", "mètres"],
@@ -56,10 +58,11 @@ EXTRA_ALIASES = {
 #: blank, no-break, figure, thin and narrow no-break space
 _SPACES = " \\u00a0\\u2007\\u2009\\u202f"
 _BLANK = rf"[\s{_SPACES}]"
-_NUMBER = rf"[-+\u2212]?(?:\d{{1,3}}(?:[{_SPACES}]\d{{3}}){{1,12}}(?!\d)|\d(?:[\d.,]*\d)?)(?:[.,]\d+)?(?:[eE][-+]?\d+)?"
-_COMPONENT = rf"({_NUMBER}){_BLANK}*((?:[^\d]++|(?<=[A-Za-z])[23](?![0-9A-Za-z])){{0,20}}+)"
-#: words that may follow a number and its unit without naming a unit
-_NOISE = r"(?i)\b(?:in the register|tall|high|long|wide|deep|heavy|surveyed|estimated|estimate|approx|about|and)\b"
+_NUMBER = rf"[-+\u2212]?(?:\d{{1,3}}(?:[{_SPACES}]\d{{3}}(?!\d))++|\d(?:[\d.,]*\d)?)(?:[.,]\d+)?(?:[eE][-+]?\d+)?"
+_COMPONENT = rf"({_NUMBER}){_BLANK}*((?:[^\d]++|(?<=[A-Za-z])[23](?![0-9A-Za-z]))*+)"
+#: what may stand behind a number without naming a unit: a preposition before an article or pronoun (with which
+#: "in" is no inch), participles and adverbs, adjectives of measure, words of estimation
+_NOISE = r"(?i)\b(?:(?:in|on|at|of|by|from|to|for|according to) (?:the|a|an|its|all|this|that)\b.*|\p{L}{3,}ed|\p{L}{3,}ly|tall|high|long|wide|deep|heavy|estimate|approx|about|around|circa|and)\b"
 
 
 def number_value(s: Column) -> Column:
@@ -125,7 +128,8 @@ def common_unit_values(edges: DataFrame, properties: DataFrame, units: DataFrame
     # Number by number; an edge has one, or a few components. Nothing is shuffled up to the last step.
     q = q.select("*", F.posexplode_outer("c").alias("k", "one")).drop("c")
     written = alias_key(F.regexp_replace(F.col("one.tail"), _NOISE, " "))
-    field = alias_key(F.regexp_extract("unit_field", r"([^/#]*)$", 1))
+    # of an address the last part names the unit; any other slash belongs to the unit itself
+    field = alias_key(F.when(F.col("unit_field").rlike(r"^\s*\w+://"), F.regexp_extract("unit_field", r"([^/#]*)$", 1)).otherwise(F.col("unit_field")))
     q = q.select(
         "edge_id", "subject", "prop", "feed", "dimension", "k", number_value(F.col("one.num")).alias("num"),
         F.coalesce(
@@ -133,14 +137,13 @@ def common_unit_values(edges: DataFrame, properties: DataFrame, units: DataFrame
             F.when(F.col("k") == 0, F.coalesce(F.col("lead"), F.nullif(field, F.lit("")), alias_key(F.col("unit_default")))),
         ).alias("alias"),
     )
-    # A unit of up to three words stands at the front of what follows the number; the longest known one counts.
-    known = {}
-    for words in (9, 3, 2, 1):
+    # A unit stands at the front of what follows the number; of the known ones the one of most words counts.
+    lengths = [r["n"] for r in aliases.select(F.size(F.split("alias", " ")).alias("n")).distinct().orderBy(F.desc("n")).collect()]
+    for words in lengths:
         a = aliases.select(F.col("alias").alias(f"a{words}"), F.col("dimension").alias(f"d{words}"), F.struct("unit", "factor", "shift").alias(f"u{words}"))
         front = F.substring_index(F.col("alias"), " ", words)
         q = q.join(a, (front == F.col(f"a{words}")) & (F.col("dimension") == F.col(f"d{words}")), "left")
-        known[words] = F.col(f"u{words}")
-    q = q.withColumn("u", F.coalesce(known[9], known[3], known[2], known[1]))
+    q = q.withColumn("u", F.coalesce(*[F.col(f"u{words}") for words in lengths], F.lit(None).cast("struct<unit:string,factor:double,shift:double>")))
     term = F.abs("num") * F.col("u.factor")
     per_edge = q.groupBy("edge_id", "subject", "prop", "feed", "dimension").agg(
         F.max(F.when(F.col("k") == 0, F.when(F.col("num") < 0, -1.0).otherwise(1.0))).alias("sign"),
@@ -153,21 +156,34 @@ def common_unit_values(edges: DataFrame, properties: DataFrame, units: DataFrame
     return per_edge.select("edge_id", "subject", "prop", "feed", "dimension", F.when(F.col("ok") > 0, F.col("sign") * total + shift).alias("value"))
 
 
-def equal_value_pairs(values: DataFrame, keys: list[str], id_col: str, value_col: str, tolerance: float) -> DataFrame:
+def _comparable(values: DataFrame, keys: list[str], id_col: str, value_col: str) -> DataFrame:
+    base = values.where(F.col(value_col).isNotNull() & F.col(id_col).isNotNull()).dropna(subset=keys)
+    return base.select(*keys, F.col(id_col).alias("i"), F.col(value_col).alias("v")).distinct()
+
+
+def value_classes(values: DataFrame, keys: list[str], id_col: str, value_col: str) -> DataFrame:
+    """(id, class, members): rows of one key with exactly the same value, named by the least id of them. No pairs."""
+    base = _comparable(values, keys, id_col, value_col)
+    classes = base.groupBy(*keys, "v").agg(F.min("i").alias("class"), F.count("*").alias("members"))
+    return base.join(classes, [*keys, "v"]).select(F.col("i").alias(id_col), "class", "members")
+
+
+def equal_value_pairs(values: DataFrame, keys: list[str], id_col: str, value_col: str, tolerance: float, hot_rows: int = 200_000) -> DataFrame:
     """Pairs (edge_a < edge_b) with equal keys whose values differ by at most ``tolerance`` of the larger one.
 
     A band join: values go to buckets of one tolerance on a logarithmic scale and meet their neighbours
-    only, so a key with very many values is not compared pair by pair.
+    only, so a key with very many values is not compared pair by pair. Buckets of more than ``hot_rows`` rows are
+    spread over several tasks. All pairs of a bucket are asked for; ``value_classes`` tells as much without pairs.
     """
     import math
 
     width = -math.log1p(-tolerance)
-    v = F.col(value_col)
+    base = _comparable(values, keys, id_col, value_col)
+    v = F.col("v")
     bucket = F.when(v == 0, F.lit(-(2**40))).otherwise(F.floor(F.log(F.abs(v)) / F.lit(width))).cast("long")
-    base = values.where(v.isNotNull() & F.col(id_col).isNotNull()).dropna(subset=keys)
-    base = base.select(*keys, F.col(id_col).alias("i"), v.alias("v"), F.signum(v).alias("sg"), bucket.alias("b")).distinct()
-    left = base.select(*keys, F.col("i").alias("edge_a"), F.col("v").alias("va"), "sg", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
-    right = base.select(*keys, F.col("i").alias("edge_b"), F.col("v").alias("vb"), "sg", "b")
+    cell = lambda b: F.struct(*keys, F.signum("v").alias("sg"), b.alias("b")).alias("cell")
+    left = base.select(F.col("i").alias("edge_a"), F.col("v").alias("va"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"), *keys, "v").select("edge_a", "va", cell(F.col("b")))
+    right = base.select(F.col("i").alias("edge_b"), F.col("v").alias("vb"), cell(bucket))
     near = F.abs(F.col("va") - F.col("vb")) <= F.lit(tolerance) * F.greatest(F.abs("va"), F.abs("vb")) * F.lit(1 + 1e-12)
-    pairs = left.join(right, [*keys, "sg", "b"]).where((F.col("edge_a") < F.col("edge_b")) & near)
+    pairs = salted_join(left, right, "cell", hot_rows=hot_rows, salt_from=F.xxhash64("edge_a")).where((F.col("edge_a") < F.col("edge_b")) & near)
     return pairs.select("edge_a", "edge_b").distinct()

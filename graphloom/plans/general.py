@@ -33,6 +33,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return units.equal_value_pairs(_values(spark, d), ["subject", "prop"], "edge_id", "value", 0.005)
 
 
+@query
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of one subject and property with exactly the same value, as classes."""
+    return units.value_classes(_values(spark, d), ["subject", "prop"], "edge_id", "value")
+
+
 def _refs(spark: SparkSession, d: str):
     return orphans.references(table(spark, d, "relation_db"), table(spark, d, "annotations")), table(spark, d, "alias_db"), table(spark, d, "core_entities")
 
@@ -98,7 +104,7 @@ parts AS (
 ), named AS (
   SELECT *, replace(num, ' ', '') AS n,
     trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(tail), '\b(in the register|tall|surveyed|estimate|approx|about|and)\b', ' ', 'g'), ' +', ' ', 'g')), '[.,;:]+$', '')) AS written,
-    trim(regexp_replace(trim(regexp_extract(unit_field, '([^/#]*)$', 1)), '[.,;:]+$', '')) AS field
+    trim(regexp_replace(trim(CASE WHEN contains(unit_field, '://') THEN regexp_extract(unit_field, '([^/#]*)$', 1) ELSE unit_field END), '[.,;:]+$', '')) AS field
   FROM parts
 ), spelled AS (
   SELECT *, CASE WHEN written <> '' THEN written WHEN k > 0 THEN NULL WHEN regexp_matches(lower(t), '^[^0-9]*\bpop\.? *[0-9]') THEN 'pop' ELSE field END AS a,
@@ -131,6 +137,12 @@ SELECT DISTINCT a.edge_id AS edge_a, b.edge_id AS edge_b FROM amounts a JOIN amo
 WHERE abs(a.value - b.value) <= 0.005 * greatest(abs(a.value), abs(b.value)) * (1 + 1e-12)"""
 )
 
+ORACLES["p1_classes"] = (
+    _VALUES_SQL
+    + """, one AS (SELECT DISTINCT edge_id, subject, prop, value FROM amounts WHERE value IS NOT NULL AND edge_id IS NOT NULL AND subject IS NOT NULL AND prop IS NOT NULL)
+SELECT edge_id, min(edge_id) OVER w AS class, count(*) OVER w AS members FROM one WINDOW w AS (PARTITION BY subject, prop, value)"""
+)
+
 _REFS_SQL = r"""
 WITH raw AS (
   SELECT 'relation_db' AS ref_table, 'id' AS ref_field, loaded_at, edge_id AS row_key, value.value.id AS t FROM relation_db WHERE value.type = 'wikibase-entityid'

@@ -27,10 +27,11 @@ def reference(i, target, at, kind="wikibase-entityid"):
 
 @pytest.fixture(scope="module")
 def measures(spark):
-    props = spark.createDataFrame([("P1", "height", "quantity", "length"), ("P2", "mean temperature", "quantity", "temperature"), ("P3", "population", "quantity", "count"), ("P4", "duration", "quantity", "time"), ("P5", "country", "item", None)], "prop string, label string, value_kind string, dimension string")
+    props = spark.createDataFrame([("P1", "height", "quantity", "length"), ("P2", "mean temperature", "quantity", "temperature"), ("P3", "population", "quantity", "count"), ("P4", "duration", "quantity", "time"), ("P5", "country", "item", None), ("P6", "speed", "quantity", "speed"), ("P7", "area", "quantity", "area")], "prop string, label string, value_kind string, dimension string")
     unit = spark.createDataFrame(
         [("U1", "metre", "m", "length", 1.0, 0.0), ("U2", "foot", "ft", "length", 0.3048, 0.0), ("U3", "inch", "in", "length", 0.0254, 0.0), ("U4", "kelvin", "K", "temperature", 1.0, 0.0), ("U5", "degree Celsius", "°C", "temperature", 1.0, 273.15),
-         ("1", "one", "", "count", 1.0, 0.0), ("U6", "thousand", "k", "count", 1000.0, 0.0), ("U7", "second", "s", "time", 1.0, 0.0), ("U8", "minute", "min", "time", 60.0, 0.0), ("U9", "hour", "h", "time", 3600.0, 0.0), ("U10", "square metre", "m2", "area", 1.0, 0.0)],
+         ("1", "one", "", "count", 1.0, 0.0), ("U6", "thousand", "k", "count", 1000.0, 0.0), ("U7", "second", "s", "time", 1.0, 0.0), ("U8", "minute", "min", "time", 60.0, 0.0), ("U9", "hour", "h", "time", 3600.0, 0.0), ("U10", "square metre", "m2", "area", 1.0, 0.0),
+         ("U11", "metre per second", "m/s", "speed", 1.0, 0.0), ("U12", "kilometre per hour", "km/h", "speed", 1 / 3.6, 0.0), ("U13", "royal foot of old measure", "rf", "length", 0.3, 0.0)],
         "unit string, label string, symbol string, dimension string, factor double, shift double",
     )
     return props, unit
@@ -59,6 +60,13 @@ CASES = [
     (quantity(20, "3 m (surveyed)", "U2"), 3.0),
     (quantity(21, "1,234,567", "1", prop="P3"), 1234567.0),
     (quantity(22, "7 " + "x" * 20000, "m"), None),
+    (quantity(23, "12", "m/s", prop="P6"), 12.0),
+    (quantity(24, "3.6", "http://kb.example/entity/U12", prop="P6"), 1.0),
+    (quantity(25, "5 in the whole register", "m"), 5.0),
+    (quantity(26, None, None, "5 in, measured"), 5 * 0.0254),
+    (quantity(27, "5 royal foot of old measure books"), 1.5),
+    (quantity(28, None, None, "1" + " 000" * 20 + " m"), 1e60),
+    (quantity(29, None, None, " ".join(["1 m2"] * 40), prop="P7"), 40.0),
 ]
 
 
@@ -81,10 +89,25 @@ def test_equal_pairs_against_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice("ab"), rng.choice([0.0, -1.0, 1.0]) * round(rng.uniform(1, 1.2), 4)) for i in range(300)] + [(900, "a", None), (None, "a", 1.0)]
     df = spark.createDataFrame(rows, "edge_id long, k string, value double")
-    got = {tuple(r) for r in units.equal_value_pairs(df, ["k"], "edge_id", "value", 0.005).collect()}
+    # also with every bucket spread over several tasks
+    got, salted = ({tuple(r) for r in units.equal_value_pairs(df, ["k"], "edge_id", "value", 0.005, hot).collect()} for hot in (10**6, 5))
+    assert got == salted
     ok = [r for r in rows if r[0] is not None and r[2] is not None]
     want = {(a[0], b[0]) for a in ok for b in ok if a[0] < b[0] and a[1] == b[1] and abs(a[2] - b[2]) <= 0.005 * max(abs(a[2]), abs(b[2]))}
     assert got == want and want
+    classes = {r["edge_id"]: (r["class"], r["members"]) for r in units.value_classes(df, ["k"], "edge_id", "value").collect()}
+    same = {a[0]: [b[0] for b in ok if b[1:] == a[1:]] for a in ok}
+    assert classes == {i: (min(x), len(x)) for i, x in same.items()} and max(n for _, n in classes.values()) > 1
+
+
+def test_salted_join(spark):
+    from graphloom.session import salted_join
+
+    big = spark.createDataFrame([("hot", i) for i in range(500)] + [(f"k{i % 7}", i) for i in range(50)] + [(None, 1)], "k string, a int")
+    small = spark.createDataFrame([("hot", "x"), ("hot", "y"), ("k1", "z"), ("none", "w")], "k string, b string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, big.join(small, "k", how).select("k", "a", "b").collect()))
+        assert sorted(map(str, salted_join(big, small, "k", how, hot_rows=20).select("k", "a", "b").collect())) == want
 
 
 def brute_orphans(refs, spans, core):
