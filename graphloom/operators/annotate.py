@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.literals import literal_id, quantity_aliases, time_aliases
 from ..functions.text import PRONOUNS, alias_tokens, bad_alias, capitalize_tokens, flatten_tokens, format_wikilink
-from ..session import cut_lineage
+from ..session import salted_join, written
 from .trie import TokenTrie
 
 ANNOTATION = "array<struct<source:string,id:string,relation:array<string>,parent_id:array<string>,span:array<int>>>"
@@ -240,11 +240,12 @@ def longest_names(docs: DataFrame, aliases: DataFrame, key: str = "article_id")
     return runs.join(names, "name").groupBy(key, "pos").agg(F.max("words").alias("words"), F.max_by("id", "words").alias("id"))
 
 
-def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: DataFrame, units: DataFrame | None = None, opt: Options = Options(), key: str = "article_id", hot_degree: int = 1000) -> DataFrame:
+def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: DataFrame, units: DataFrame | None = None, opt: Options = Options(), key: str = "article_id", hot_degree: int = 1000, hot_rows: int = 200_000) -> DataFrame:
     """(key, annotations) of documents with title, tokens, entities, nel and clusters; ``key`` must be unique.
 
     Subjects with more than ``hot_degree`` edges are looked up by subject and word together, so the edges of a
-    hub are never listed for every document that mentions it. The graph is followed until nothing new is reached.
+    hub are never listed for every document that mentions it; subjects that more than ``hot_rows`` documents
+    reach are spread over several tasks. The graph is followed until nothing new is reached.
     """
     kind = dict(docs.dtypes)[key]
     titles = wiki.groupBy("title").agg(F.min("id").alias("id"))
@@ -252,42 +253,48 @@ def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: Dat
     base = base.join(titles.withColumnRenamed("id", "root"), "title", "left").drop("title")
     nel = base.select("doc", F.posexplode("nel").alias("no", "c")).select("doc", "no", "c", format_wikilink("c.label").alias("title")).where(F.col("c.score") >= opt.score)
     nel = nel.join(titles, "title", "left").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("no", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.score").alias("score"), "id"))).alias("linker"))
-    base = cut_lineage(base.drop("nel").join(nel, "doc", "left"))
+    base = written(base.drop("nel").join(nel, "doc", "left"))
     linked = F.array_compact(F.array_union(F.coalesce(F.transform("entities", lambda e: e["id"]), F.array().cast("array<string>")), F.array_union(F.coalesce(F.transform("linker", lambda c: c["id"]), F.array().cast("array<string>")), F.array("root"))))
     known_docs = base.where("root IS NOT NULL")
     stamped = known_docs.select("doc", F.explode(linked).alias("id")).distinct()
-    # Evidence of a document: its linked ids, its words and pairs of words.
+    known = aliases.select("id").distinct()
+    full = written(graph_edges(relation, known, opt.same_as))
+    names = written(name_table(aliases, full, units))
+    edge = full.select("subject", "ord", "prop", "child").distinct()
+    fronts = names.select("id", F.explode(F.array(_first_words(F.col("name")), _first_words(capitalize_tokens("name")))).alias("w")).distinct()
+    # Evidence of a document: its linked ids, and those of its words and pairs of words that a name begins with.
     toks = known_docs.select("doc", "tokens")
     pair = F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(1))), lambda i: _first_words(F.slice("tokens", i, 2)))
     words = toks.where("size(tokens) > 0").select("doc", F.explode(F.array_distinct(F.concat("tokens", pair))).alias("w")).where("w IS NOT NULL")
+    words = words.join(fronts.select("w").distinct(), "w", "left_semi")
     # read again at every hop, like the lookup below, so both are made once
-    evidence = cut_lineage(words.select("doc", F.concat(F.lit("w:"), "w").alias("e")).unionByName(stamped.select("doc", F.concat(F.lit("i:"), "id").alias("e"))))
-    known = aliases.select("id").distinct()
-    full = cut_lineage(graph_edges(relation, known, opt.same_as))
-    names = cut_lineage(name_table(aliases, full, units))
-    edge = full.select("subject", "ord", "prop", "child").distinct()
-    fronts = names.select("id", F.explode(F.array(_first_words(F.col("name")), _first_words(capitalize_tokens("name")))).alias("w")).distinct()
-    by_name = edge.join(fronts.withColumnRenamed("id", "child"), "child").select("subject", "ord", "prop", "child", F.concat(F.lit("w:"), "w").alias("e"))
-    by_id = edge.select("subject", "ord", "prop", "child", F.concat(F.lit("i:"), "child").alias("e"))
-    lookup = cut_lineage(by_name.unionByName(by_id))
-    hubs = edge.groupBy("subject").count().where(F.col("count") > hot_degree).select("subject")
+    evidence = written(words.select("doc", F.concat(F.lit("w:"), "w").alias("e")).unionByName(stamped.select("doc", F.concat(F.lit("i:"), "id").alias("e"))))
+    # Edges by what lets a document follow them; what stands in no document is left out before it meets an edge.
+    met = evidence.select("e").distinct()
+    starts = fronts.select(F.col("id").alias("child"), F.concat(F.lit("w:"), "w").alias("e")).unionByName(edge.select("child", F.concat(F.lit("i:"), "child").alias("e")).distinct())
+    lookup = written(edge.join(starts.join(met, "e", "left_semi"), "child").select("subject", "ord", "prop", "child", "e"))
+    hubs = lookup.groupBy("subject").count().where(F.col("count") > hot_degree).select("subject")
     cold, hot = lookup.join(hubs, "subject", "left_anti"), lookup.join(hubs, "subject", "left_semi")
-    # Names and edges reached from the linked ids, hop by hop, as far as the document's words lead.
-    frontier, reached, found = stamped, stamped, None
+    def followed(ids: DataFrame) -> DataFrame:
+        """Edges that a document can follow from its ids (doc, id)."""
+        start = ids.withColumnRenamed("id", "subject")
+        # a subject may be reached by a third of all documents
+        near = salted_join(start, cold, "subject", hot_rows=hot_rows).join(evidence, ["doc", "e"], "left_semi")
+        far = start.join(hubs, "subject", "left_semi").join(evidence, "doc").join(hot, ["subject", "e"])
+        return near.select("doc", "subject", "ord", "prop", "child").unionByName(far.select("doc", "subject", "ord", "prop", "child"))
+
+    # Ids reached from the linked ones, hop by hop, as far as the document's words lead; only ids are kept between hops.
+    frontier, reached = stamped, stamped
     # every round adds new (doc, id) only, so this ends, however long a chain is
     for hop in itertools.count(1):
-        start = frontier.withColumnRenamed("id", "subject")
-        near = start.join(cold, "subject").join(evidence, ["doc", "e"], "left_semi")
-        far = start.join(hubs, "subject", "left_semi").join(evidence, "doc").join(hot, ["subject", "e"])
-        step = cut_lineage(near.select("doc", "subject", "ord", "prop", "child").unionByName(far.select("doc", "subject", "ord", "prop", "child")).distinct())
-        found = step if found is None else found.unionByName(step)
-        frontier = cut_lineage(step.select("doc", F.col("child").alias("id")).distinct().join(reached, ["doc", "id"], "left_anti"))
+        frontier = written(followed(frontier).select("doc", F.col("child").alias("id")).distinct().join(reached, ["doc", "id"], "left_anti"))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
         if hop % 8 == 0:  # else plan and tasks grow with every round
-            reached, found = cut_lineage(reached.repartition("doc", "id")), cut_lineage(found.repartition("doc", "subject"))
-    per_edge = found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("subject", "ord", "prop", "child"))).alias("edges"))
+            reached = written(reached.repartition("doc", "id"))
+    reached = written(reached.repartition("doc", "id"))
+    per_edge = followed(reached).distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("subject", "ord", "prop", "child"))).alias("edges"))
     listed = names.groupBy("id").agg(F.transform(F.sort_array(F.collect_set(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"))
     listed = known.unionByName(names.select("id").distinct()).distinct().join(listed, "id", "left")
     per_name = reached.join(listed, "id").groupBy("doc").agg(F.collect_list(F.struct("id", F.coalesce("names", F.array().cast("array<array<string>>")).alias("names"))).alias("names"))

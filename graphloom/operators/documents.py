@@ -142,9 +142,9 @@ def window_rows(docs: DataFrame, key: str = "article_id", size: int = 3) -> Data
 
 
 def coreference(docs: DataFrame, provider: CorefProvider, key: str = "article_id", size: int = 3) -> DataFrame:
-    """(key, clusters): clusters of all windows by a provider, moved to document positions and merged.
+    """(key, clusters, failed): clusters of all windows by a provider, moved to document positions and merged.
 
-    A window whose call fails gives no cluster. Mentions (sentence, start, end) count from 1, end exclusive;
+    A window whose call fails gives no cluster and is counted in ``failed``. Mentions (sentence, start, end) count from 1, end exclusive;
     clusters have inclusive ends.
     """
     kind = dict(docs.dtypes)[key]
@@ -158,13 +158,14 @@ def coreference(docs: DataFrame, provider: CorefProvider, key: str = "article_id
                 try:
                     found = provider(sents)
                 except Exception:  # noqa: BLE001
+                    out.append((k, None, 1))
                     continue
                 for cluster in found:
-                    out.append((k, [{"start": int(off + begins[s - 1] + i - 1), "end": int(off + begins[s - 1] + j - 2)} for s, i, j in cluster]))
-            yield pd.DataFrame(out, columns=[key, "cluster"])
+                    out.append((k, [{"start": int(off + begins[s - 1] + i - 1), "end": int(off + begins[s - 1] + j - 2)} for s, i, j in cluster], 0))
+            yield pd.DataFrame(out, columns=[key, "cluster", "failed"])
 
-    found = window_rows(docs, key, size).mapInPandas(call, f"{key} {kind}, cluster array<struct<start:int,end:int>>")
-    return merge_clusters(found.groupBy(key).agg(F.collect_list("cluster").alias("clusters")), key)
+    found = window_rows(docs, key, size).mapInPandas(call, f"{key} {kind}, cluster array<struct<start:int,end:int>>, failed int")
+    return merge_clusters(found.groupBy(key).agg(F.collect_list("cluster").alias("clusters"), F.sum("failed").cast("int").alias("failed")), key, "failed")
 
 
 def merged(clusters: list) -> list[list[tuple[int, int]]]:
@@ -190,16 +191,17 @@ def merged(clusters: list) -> list[list[tuple[int, int]]]:
     return list(groups.values())
 
 
-def merge_clusters(docs: DataFrame, key: str = "article_id") -> DataFrame:
-    """(key, clusters) with the clusters of each document merged; null clusters give an empty list."""
-    kind = dict(docs.dtypes)[key]
+def merge_clusters(docs: DataFrame, key: str = "article_id", *keep: str) -> DataFrame:
+    """(key, clusters) and columns to keep, with the clusters of each document merged; null clusters give an empty list."""
+    kinds = dict(docs.dtypes)
+    ddl = ", ".join([f"{key} {kinds[key]}", f"clusters {CLUSTERS}", *[f"{c} {kinds[c]}" for c in keep]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = [[[{"start": s, "end": e} for s, e in c] for c in merged(cs)] for cs in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, _CLUSTERS)], names=[key, "clusters"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, _CLUSTERS), *b.columns[2:]], names=[key, "clusters", *keep])
 
-    return docs.select(key, "clusters").mapInArrow(run, f"{key} {kind}, clusters {CLUSTERS}")
+    return docs.select(key, "clusters", *keep).mapInArrow(run, ddl)
 
 
 def cluster_entities(docs: DataFrame, key: str = "article_id") -> DataFrame:

@@ -45,6 +45,17 @@ def relation_counts(docs: DataFrame) -> DataFrame:
     return rel.groupBy("relation").agg(F.count("*").alias("n"))
 
 
+def readable_histogram(docs: DataFrame, names: DataFrame, key: str = "article_id") -> DataFrame:
+    """(rank, readable, n): relations by readable name, the most frequent first, of equally frequent ones the first seen. Boring ones are left out."""
+    pairs = story_pairs(docs.select(key, F.posexplode("annotations").alias("idx", "a")), key, "idx").select(key, "idx", "pair_no", F.col("pair.relation").alias("relation"))
+    pairs = pairs.where(~F.col("relation").isin(BORING))
+    # counted by relation first, so names meet one row per relation
+    per = pairs.groupBy("relation").agg(F.count("*").alias("n"), F.min(F.struct(key, "idx", "pair_no")).alias("seen"))
+    shown = per.join(readable_relations(per, names), "relation").groupBy("readable").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+    # one row per name: as long as the list of relations
+    return shown.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "seen")).alias("rank"), "readable", "n")
+
+
 def generator_counts(docs: DataFrame) -> DataFrame:
     """Stories by what generates them: an earlier mention, nothing known, or a relation."""
     kind = F.when(F.col("pair.relation").isin(BORING), F.col("pair.relation")).otherwise(STORY)

@@ -113,6 +113,13 @@ def reverse_edges(spark: SparkSession, d: str) -> DataFrame:
     return kg.reverse_edges(_edges(spark, d))
 
 
+@query(f"SELECT subject, prop, object FROM ({_EDGE}) WHERE object IS NOT NULL UNION ALL SELECT object, 'R:' || prop, subject FROM ({_EDGE}) WHERE object IS NOT NULL")
+def edges_both_ways(spark: SparkSession, d: str) -> DataFrame:
+    """SET1: main and qualified edges united with their reverse ones."""
+    e = _edges(spark, d).where("object IS NOT NULL").select("subject", "prop", "object")
+    return e.unionByName(kg.reverse_edges(e))
+
+
 @query(f"""SELECT prop, prop LIKE 'R:%' AS is_reverse, split_part(b, ':', 1) AS main, nullif(split_part(b, ':', 2), '') AS qualifier, count(*) AS n
 FROM (SELECT prop, CASE WHEN prop LIKE 'R:%' THEN substring(prop, 3) ELSE prop END AS b FROM ({_EDGE})) GROUP BY ALL""")
 def qualified_properties(spark: SparkSession, d: str) -> DataFrame:
@@ -142,12 +149,54 @@ def kg_aliases(spark: SparkSession, d: str) -> DataFrame:
     return kg.alias_lists(table(spark, d, "entity_dump")).select("id", F.array_join("aliases", "|").alias("aliases"))
 
 
-@query()
+@query(f"SELECT k.* FROM ({ORACLES['kg_aliases']}) k WHERE NOT starts_with(k.id, 'Q') OR k.id IN (SELECT id FROM wiki_db)")
+def kg_aliases_allowed(spark: SparkSession, d: str) -> DataFrame:
+    """FLT1: alias table of the entities that an allow-list names."""
+    allowed = table(spark, d, "wiki_db").select("id").where("id IS NOT NULL").distinct()
+    return kg.alias_lists(table(spark, d, "entity_dump"), allowed).select("id", F.array_join("aliases", "|").alias("aliases"))
+
+
+_GOOD = """json_type({0}, '$.datavalue') = 'OBJECT' AND coalesce(json_extract_string({0}, '$.datatype'), '') NOT IN (""" + ", ".join(f"'{x}'" for x in kg.BAD_DATATYPES) + """)
+    AND NOT (coalesce(json_extract_string({0}, '$.datatype'), '') = 'monolingualtext' AND coalesce(json_extract_string({0}, '$.datavalue.value.language'), '') <> 'en')"""
+
+
+def _groups(field: str, prop: str, keep: str, source: str) -> str:
+    """(keep, g, key, no, x): elements of a field that is a map of lists or of single elements, or a list of elements that name their property."""
+    text = f"CASE WHEN json_type({field}) = 'VARCHAR' THEN TRY_CAST(json_extract_string({field}, '$') AS JSON) ELSE {field} END"
+    return f"""SELECT {keep}, g, key, unnest(range(len(xs))) AS no, unnest(xs) AS x FROM (SELECT {keep}, g, key, CASE WHEN json_type(v) = 'ARRAY' THEN CAST(v AS JSON[]) ELSE [v] END AS xs FROM (
+    SELECT {keep}, unnest(range(len(map_keys(m)))) AS g, unnest(map_keys(m)) AS key, unnest(map_values(m)) AS v FROM (SELECT {keep}, CAST(f AS MAP(VARCHAR, JSON)) AS m FROM (SELECT {keep}, {text} AS f FROM {source}) WHERE json_type(f) = 'OBJECT')))
+  UNION ALL SELECT {keep}, g, {prop} AS key, 0 AS no, x FROM (SELECT {keep}, unnest(range(json_array_length(f)::BIGINT)) AS g, unnest(CAST(f AS JSON[])) AS x FROM (SELECT {keep}, {text} AS f FROM {source}) WHERE json_type(f) = 'ARRAY')"""
+
+
+def _edges_sql(where_subject: str, where_prop: str) -> str:
+    return f"""WITH lines AS ({_DUMP}),
+ents AS (
+  SELECT line_no, 0 AS part, json_extract_string(j, '$.id') AS subject, j->'$.claims' AS claims FROM lines WHERE coalesce(json_type(j, '$.entities'), 'NULL') = 'NULL'
+  UNION ALL SELECT line_no, part, coalesce(nullif(json_extract_string(e, '$.id'), ''), key), e->'$.claims' FROM (SELECT line_no, unnest(range(len(map_keys(m)))) AS part, unnest(map_keys(m)) AS key, unnest(map_values(m)) AS e FROM (
+    SELECT line_no, CAST(j->'$.entities' AS MAP(VARCHAR, JSON)) AS m FROM lines WHERE json_type(j, '$.entities') = 'OBJECT'))
+  UNION ALL SELECT line_no, part, json_extract_string(e, '$.id'), e->'$.claims' FROM (SELECT line_no, unnest(range(json_array_length(j, '$.entities')::BIGINT)) AS part, unnest(CAST(j->'$.entities' AS JSON[])) AS e FROM lines WHERE json_type(j, '$.entities') = 'ARRAY')
+), known AS (SELECT * FROM ents WHERE subject IS NOT NULL AND {where_subject}),
+c AS (SELECT line_no, part, subject, g, key AS prop, no, x FROM ({_groups("claims", "json_extract_string(x, '$.mainsnak.property')", "line_no, part, subject", "known")}) WHERE key IS NOT NULL AND {where_prop} AND {_GOOD.format("(x->'$.mainsnak')")}),
+q AS (SELECT line_no, part, subject, g0, no0, prop, g, key, no, x FROM ({_groups("ql", "json_extract_string(x, '$.property')", "line_no, part, subject, g0, no0, prop", "(SELECT line_no, part, subject, g AS g0, no AS no0, prop, x->'$.qualifiers' AS ql FROM c)")}) WHERE key IS NOT NULL AND {_GOOD.format("x")}),
+every AS (SELECT line_no, part, subject, g, no, -1 AS q, CAST(-1 AS BIGINT) AS k, prop, x->'$.mainsnak.datavalue' AS dv FROM c
+  UNION ALL SELECT line_no, part, subject, g0, no0, g, row_number() OVER (PARTITION BY line_no, part, subject, g0, no0, g ORDER BY no) - 1, prop || ':' || key, x->'$.datavalue' FROM q)
+SELECT line_no, subject, CAST(row_number() OVER (PARTITION BY line_no, subject ORDER BY part, g, no, q, k) - 1 AS INTEGER) AS ord, prop, json_extract_string(dv, '$.type') AS value_type,
+  CASE WHEN json_type(dv, '$.value') = 'VARCHAR' THEN json_extract_string(dv, '$.value') ELSE CAST(dv->'$.value' AS VARCHAR) END AS value FROM every"""
+
+
+@query(_edges_sql("true", "true"))
 def kg_edges(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ2, PRJ3, FLT4-6, SET1: edge table of the dump, qualifiers behind their claim."""
+    """PRJ2, PRJ3, FLT4-6: edge table of the dump, qualifiers behind their claim."""
     return kg.edges(table(spark, d, "entity_dump"))
 
 
+@query(_edges_sql("subject IN (SELECT id FROM wiki_db)", "key IN (SELECT prop FROM property_list WHERE dimension IS NOT NULL)"))
+def kg_edges_allowed(spark: SparkSession, d: str) -> DataFrame:
+    """FLT2, FLT3, JN8: edges of the entities and properties that allow-lists name."""
+    allowed = table(spark, d, "wiki_db").select("id").where("id IS NOT NULL").distinct()
+    return kg.edges(table(spark, d, "entity_dump"), allowed, table(spark, d, "property_list").where("dimension IS NOT NULL").select("prop"))
+
+
 @query(f"SELECT title, {_LINK.format('title')} AS link, upper(substring(replace(title, ' ', '_'), 1, 1)) || lower(substring(replace(title, ' ', '_'), 2)) AS redirect, count(*) AS n FROM wiki_db WHERE length(title) > 0 GROUP BY ALL")
 def title_forms(spark: SparkSession, d: str) -> DataFrame:
     """FN1, FN2: both key forms of every title."""
@@ -185,6 +234,16 @@ def generator_histogram(spark: SparkSession, d: str) -> DataFrame:
     return stats.generator_counts(_annotations(spark, d))
 
 
+@query(f"""WITH nm AS ({_NAME}), p AS (SELECT relation, article_id, idx, pair_no FROM ({_PAIR}) WHERE relation NOT IN ('@@REFLEXIVE@@', '@@NEW@@')),
+shown AS (SELECT relation, string_agg(coalesce(n.name, part), ' : ' ORDER BY i) AS readable FROM (
+  SELECT relation, unnest(string_split(relation, ':')) AS part, unnest(range(len(string_split(relation, ':')))) AS i FROM (SELECT DISTINCT relation FROM p)) LEFT JOIN nm n ON n.id = part GROUP BY relation),
+h AS (SELECT s.readable, count(*) AS n, min((p.article_id, p.idx, p.pair_no)) AS seen FROM p JOIN shown s USING (relation) GROUP BY s.readable)
+SELECT CAST(row_number() OVER (ORDER BY n DESC, seen) AS INTEGER) AS rank, readable, n FROM h""")
+def readable_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """SRT2, AGG7: relations by their readable name, the most frequent first, of equally frequent ones the first seen."""
+    return stats.readable_histogram(_annotations(spark, d), _names(spark, d))
+
+
 _GAPS = f"""SELECT p.article_id, p.idx, p.pair_no, p.flat, p.a, p.relation, p.parent, max_by(s.a, s.idx) AS last
   FROM ({_PAIR}) p JOIN ({_MENTION}) s ON s.article_id = p.article_id AND s.a.id = p.parent AND s.idx < p.idx
   WHERE p.relation NOT IN ('@@REFLEXIVE@@', '@@NEW@@') GROUP BY ALL"""
@@ -230,17 +289,30 @@ def manual_deletions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _split_lists(titles: DataFrame) -> list[DataFrame]:
-    h = F.pmod(F.length("title"), F.lit(5))
-    return [titles.where(h.isin(*which)).select("title") for which in ((0, 1), (1, 2), (3,))]
+    h = F.substring(F.md5("title"), 1, 1)
+    return [titles.where(h.isin(*which)).select("title") for which in ("01", "12", "3")]
 
 
-@query("""WITH x AS (SELECT article_id, title, loaded_at, length(title) % 5 AS h, row_number() OVER (PARTITION BY title ORDER BY article_id, loaded_at) AS nth FROM annotations WHERE title IS NOT NULL)
-SELECT CASE WHEN h IN (0, 1) AND nth = 1 THEN 'valid' WHEN h IN (1, 2) AND nth = 1 + (h IN (0, 1))::INT THEN 'test' ELSE 'train' END AS split, h = 3 AND nth = 1 AS mini, count(*) AS n, count(DISTINCT title) AS titles FROM x GROUP BY ALL""")
+@query("""WITH o AS (SELECT DISTINCT article_id, title, loaded_at FROM annotations WHERE title IS NOT NULL),
+x AS (SELECT article_id, title, loaded_at, substring(md5(title), 1, 1) AS h, row_number() OVER (PARTITION BY title ORDER BY article_id, loaded_at) AS nth FROM o),
+y AS (SELECT *, h IN ('0', '1') AS v, h IN ('1', '2') AS t, h = '3' AS m FROM x)
+SELECT article_id, title, loaded_at, CASE WHEN v AND nth = 1 THEN 'valid' WHEN t AND nth = 1 + v::INT THEN 'test' ELSE 'train' END AS split, m AND nth = 1 AS mini FROM y""")
 def split_by_title(spark: SparkSession, d: str) -> DataFrame:
-    """JN17, WIN8, SET6: sizes of the splits."""
-    docs = table(spark, d, "annotations").where("title IS NOT NULL").select("title", F.struct("article_id", "loaded_at").alias("at"))
-    out = curate.split_by_title(docs, *_split_lists(docs.select("title").distinct()), order="at")
-    return out.groupBy("split", "mini").agg(F.count("*").alias("n"), F.countDistinct("title").alias("titles"))
+    """JN17, WIN8, SET6: every document in its split; the lists are drawn from the titles by digest."""
+    docs = table(spark, d, "annotations").where("title IS NOT NULL").select("article_id", "title", "loaded_at").distinct()
+    return curate.split_by_title(docs.withColumn("at", F.struct("article_id", "loaded_at")), *_split_lists(docs.select("title").distinct()), order="at").drop("at")
+
+
+@query("""WITH listed AS (SELECT DISTINCT title FROM wiki_db WHERE title IS NOT NULL) SELECT title FROM listed WHERE title NOT IN (SELECT title FROM annotations WHERE title IS NOT NULL)""")
+def unused_titles(spark: SparkSession, d: str) -> DataFrame:
+    """SET6: listed titles that no document has."""
+    return curate.unused_titles(table(spark, d, "annotations"), table(spark, d, "wiki_db").where("title IS NOT NULL").select("title").distinct())
+
+
+@query(f"SELECT article_id, len(tokens) AS sentences FROM ({_ART}) WHERE len(tokens) > 0")
+def documents_with_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """FLT10: documents that have any sentence."""
+    return curate.with_tokens(_articles(spark, d)).select("article_id", F.size("tokens").cast("long").alias("sentences"))
 
 
 @query(f"""WITH a AS (SELECT article_id, pos, max_by(x.id, idx) AS id, max_by(x.source, idx) AS source FROM (SELECT article_id, idx, a AS x, unnest(range(a.span[1], a.span[2])) AS pos FROM ({_MENTION})) GROUP BY ALL),
@@ -343,11 +415,17 @@ def cluster_entities(spark: SparkSession, d: str) -> DataFrame:
     return documents.cluster_entities(_articles(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS (SELECT article_id, row_number() OVER () AS cno, unnest(c) AS m FROM (SELECT article_id, unnest(clusters) AS c FROM ({_ART}))),
+m AS (SELECT DISTINCT article_id, cno, m.start AS s, m.end AS e FROM c WHERE m IS NOT NULL),
+near AS (SELECT DISTINCT a.article_id, a.cno AS x, b.cno AS y FROM m a JOIN m b ON a.article_id = b.article_id AND a.s = b.s AND a.e = b.e),
+reach AS (SELECT article_id, x, y FROM near UNION SELECT r.article_id, r.x, n.y FROM reach r JOIN near n ON n.article_id = r.article_id AND n.x = r.y),
+g AS (SELECT DISTINCT m.article_id, r.root, s, e FROM m JOIN (SELECT x, min(y) AS root FROM reach GROUP BY x) r ON r.x = m.cno),
+f AS (SELECT *, first_value(s) OVER w AS fs, first_value(e) OVER w AS fe FROM g WINDOW w AS (PARTITION BY article_id, root ORDER BY s, e))
+SELECT article_id, CAST(dense_rank() OVER (PARTITION BY article_id ORDER BY fs, fe) - 1 AS INTEGER) AS cluster_no, s AS "start", e AS "end" FROM f""")
 def coref_merge(spark: SparkSession, d: str) -> DataFrame:
-    """AGG11, JN19, SET2, SRT4: clusters of an article joined where they share a mention."""
+    """AGG11, JN19, SET2, SRT4, FN8: clusters of an article joined where they share a mention, member by member."""
     merged = documents.merge_clusters(_articles(spark, d))
-    return merged.select("article_id", F.posexplode("clusters").alias("cluster_no", "c")).select("article_id", "cluster_no", text.first_start("c").alias("first_start"), F.size("c").alias("mentions"))
+    return merged.select("article_id", F.posexplode("clusters").alias("cluster_no", "c")).select("article_id", "cluster_no", F.explode("c").alias("m")).select("article_id", "cluster_no", "m.start", "m.end")
 
 
 @query(f"""WITH w AS (SELECT title, min(id) AS id FROM ({_WIKI}) GROUP BY title),
@@ -383,20 +461,32 @@ def alias_match_longest(spark: SparkSession, d: str) -> DataFrame:
 def html_documents(spark: SparkSession, d: str) -> DataFrame:
     """SRC13, FLT30-32, FN21, PRJ6, JN2, FLT29, WIN9: pages as tokenised, linked documents."""
     pages = table(spark, d, "raw_articles").where("html IS NOT NULL AND article_id IS NOT NULL")
-    pages = pages.groupBy("article_id").agg(F.max_by(F.struct("title", "html"), F.struct("fetched_at", "html")).alias("x")).select("article_id", "x.*")
-    return documents.html_documents(pages, _wiki(spark, d)).select("article_id", "title", F.size("tokens").alias("sentences"), F.size(F.flatten("tokens")).alias("words"), F.size("entities").alias("links"))
+    pages = pages.groupBy("article_id").agg(F.max_by(F.struct("title", "html"), F.struct("fetched_at", F.sha2("html", 256))).alias("x")).select("article_id", "x.*")
+    docs = documents.html_documents(pages, _wiki(spark, d)).select("article_id", "title", F.posexplode("tokens").alias("sent_no", "words"), "entities")
+    linked = F.transform("entities", lambda e: F.concat_ws(":", e["id"], e["start"], e["end"]))
+    return docs.select("article_id", "title", "sent_no", F.array_join("words", " ").alias("words"), F.when(F.col("sent_no") == 0, F.array_join(linked, ",")).alias("links"))
 
 
-@query()
-def annotate_documents(spark: SparkSession, d: str) -> DataFrame:
-    """ANN0-14, JN4-6, JN11, FLT14-16, FLT25, FLT26: stories of all mentions of all articles."""
+def _annotated(spark: SparkSession, d: str, opt: annotate.Options) -> DataFrame:
     core = table(spark, d, "core_entities").select("id", F.array("label").alias("aliases"))
     aliases = table(spark, d, "alias_db").select("id", "aliases").where("id IS NOT NULL").distinct().unionByName(core)
-    out = annotate.annotate(_articles(spark, d), _wiki(spark, d), aliases, table(spark, d, "relation_db"), table(spark, d, "units"))
+    out = annotate.annotate(_articles(spark, d), _wiki(spark, d), aliases, table(spark, d, "relation_db"), table(spark, d, "units"), opt)
     a = out.select("article_id", F.posexplode("annotations").alias("idx", "a"))
     return a.select("article_id", "idx", "a.source", "a.id", F.array_join("a.relation", ",").alias("relations"), F.array_join("a.parent_id", ",").alias("parents"), F.get("a.span", 0).alias("start"), F.get("a.span", 1).alias("end"))
 
 
+@query()
+def annotate_documents(spark: SparkSession, d: str) -> DataFrame:
+    """ANN0-14, JN4-6, JN11, FLT14, FLT16, FLT26: stories of all mentions of all articles."""
+    return _annotated(spark, d, annotate.Options())
+
+
+@query()
+def annotate_options(spark: SparkSession, d: str) -> DataFrame:
+    """FLT15, FLT25, FLT34, ANN10: the same with every option on: near parents only, names of links from the start, linker ids among the links, pruned clusters."""
+    return _annotated(spark, d, annotate.Options(cutoff=40, match_aliases=True, unmatch=True, prune_clusters=True))
+
+
 # -- literals ----------------------------------------------------------------------------------------------
 def _sql_date(template: str) -> str:
     m = lambda names: "[" + ", ".join(f"'{x}'" for x in names) + "][mo]"

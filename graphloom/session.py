@@ -70,9 +70,12 @@ def _checkpoint_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, *by: str) -> DataFrame:
-    """The rows, written once as a table in the checkpoint folder, in partitions by the given columns, so that a part can be read alone."""
+    """The rows, written once as a table in the checkpoint folder: compressed, and without the constraints that a checkpoint carries on.
+
+    In partitions by the given columns a part can be read alone.
+    """
     path = f"{_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import documents
+from ..operators import annotate, documents
 from ..operators.orphans import REFERENCE, OrphanState, advance, initial_state
 from ..sources.readers import CLUSTERS
 
@@ -17,6 +17,19 @@ def merge_cluster_stream(spark: SparkSession, source: str, sink: str, checkpoint
     return documents.merge_clusters(docs).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def annotate_stream(spark: SparkSession, source: str, ddl: str, wiki: DataFrame, aliases: DataFrame, relation: DataFrame, sink: str, checkpoint: str, opt: annotate.Options = annotate.Options()) -> StreamingQuery:
+    """Annotates arriving documents batch by batch against the graph's tables; a document's annotations depend on no other's.
+
+    A repeated batch writes its own folder again, so no document comes out twice.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        annotate.annotate(batch, wiki, aliases, relation, opt=opt).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    docs = spark.readStream.schema(ddl).parquet(source)
+    return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def orphan_stream(spark: SparkSession, source: str, ddl: str, state_dir: str, checkpoint: str) -> StreamingQuery:
     """Keeps the orphan state under ``state_dir`` up to date with arriving references and parent changes.
 

@@ -289,6 +289,13 @@ def test_coreference(spark):
 
     got = {r["article_id"]: [[tuple(m) for m in c] for c in r["clusters"]] for r in documents.coreference(df, provider).collect()}
     assert got == {1: [[(1, 1), (2, 2), (4, 4)]]}
+    def fails(sents):
+        if sents[0] == ["c"]:
+            raise ValueError("no answer")
+        return provider(sents)
+
+    odd = {r["article_id"]: ([[tuple(m) for m in c] for c in r["clusters"]], r["failed"]) for r in documents.coreference(df, fails).collect()}
+    assert odd == {1: ([[(1, 1), (2, 2)]], 1)}
     span = lambda *ms: [{"start": a, "end": b} for a, b in ms]
     assert documents.merged([span((1, 2), (3, 4)), span((5, 6)), span((3, 4), (7, 8)), span((5, 6), (9, 10))]) == [[(1, 2), (3, 4), (7, 8)], [(5, 6), (9, 10)]]
     assert documents.merged(None) == [] and documents.merged([None, []]) == []
