@@ -89,7 +89,7 @@ def _local(batches: Iterator[pa.RecordBatch], chunk: int = 500_000) -> Iterator[
         yield from _stars(pa.Table.from_batches(held), True).to_batches(max_chunksize=65536)
 
 
-def components(pairs: DataFrame, u: str, v: str, blocks: int | None = None, max_rounds: int = 50, cell: int = 250_000) -> DataFrame:
+def components(pairs: DataFrame, u: str, v: str, blocks: int | None = None, max_rounds: int = 50, cell: int = 1_000_000) -> DataFrame:
     """(vertex, group) for every vertex of ``pairs``. ``blocks`` squared partitions make up the grid; None: by ``cell`` edges each."""
     kind = dict(pairs.dtypes)[u]
     ddl = f"u {kind}, v {kind}"
@@ -101,12 +101,12 @@ def components(pairs: DataFrame, u: str, v: str, blocks: int | None = None, max_
         block = [F.pmod(F.xxhash64(c), F.lit(side)) for c in ("u", "v")]
         place = (block[0] * side + block[1]).cast("int")
         stars = cut_lineage(edges.repartitionById(side * side, place).mapInArrow(_contract(False), ddl))
-        # exchange along rows and columns: a vertex takes the least representative that any partition found
-        roots = stars.groupBy("v").agg(F.min("u").alias("p"))
-        if side == 1:  # one partition saw every edge left
-            labels = roots if labels is None else labels.unionByName(roots)
+        if side == 1:  # one partition saw every edge left, and its stars are the groups
+            roots = stars.select("v", F.col("u").alias("p"))
+            labels = roots if labels is None else _flatten(labels.unionByName(roots))
             break
-        roots = _flatten(cut_lineage(roots))
+        # exchange along rows and columns: a vertex takes the least representative that any partition found
+        roots = _flatten(cut_lineage(stars.groupBy("v").agg(F.min("u").alias("p"))))
         labels = roots if labels is None else labels.unionByName(roots)
         # what links two different roots is an edge of the next, smaller graph; a vertex stands in at most one
         # star per partition, and a representative of very many members is reduced before it is looked up
@@ -115,11 +115,13 @@ def components(pairs: DataFrame, u: str, v: str, blocks: int | None = None, max_
         links = half.join(other, "u", "left").select("p", F.coalesce("q", "u").alias("q")).where(F.col("p") != F.col("q"))
         edges = cut_lineage(links.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
         if edges.isEmpty():
+            labels = _flatten(labels)
             break
     else:
         raise RuntimeError(f"parents still change after {max_rounds} rounds")
-    labels = _flatten(labels).select(F.col("v").alias("vertex"), "p")
-    return local.select(F.col("v").alias("vertex")).distinct().join(labels, "vertex", "left").select("vertex", F.coalesce("p", "vertex").alias("group"))
+    # every vertex by itself or by its group, whose name is less than any other member's
+    every = local.select("v", F.col("v").alias("p")).unionByName(labels)
+    return every.groupBy(F.col("v").alias("vertex")).agg(F.min("p").alias("group"))
 
 
 def _flatten(labels: DataFrame) -> DataFrame:
