@@ -45,21 +45,22 @@ def local_union_find(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return parent
 
 
-def _stars(table: pa.Table, loops: bool) -> pa.Table:
-    """Spanning stars (u = least member, v = member) of a table of edges; with ``loops`` also (u, u), so that every vertex is a v."""
-    both = pa.chunked_array([*table["u"].chunks, *table["v"].chunks]).combine_chunks()
+def _stars(edges: list[pa.RecordBatch], loops: bool) -> pa.Table:
+    """Spanning stars (u = least member, v = member) of batches of edges; with ``loops`` also (u, u), so that every vertex is a v."""
+    rows = sum(b.num_rows for b in edges)
+    both = pa.chunked_array([b.column(k) for k in (0, 1) for b in edges]).combine_chunks()
     coded = both.dictionary_encode()
     order = pc.array_sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
     codes = rank[coded.indices.to_numpy()]
     names = coded.dictionary.take(pa.array(order))
-    parent = local_union_find(codes[: table.num_rows], codes[table.num_rows :], len(names))
+    parent = local_union_find(codes[:rows], codes[rows:], len(names))
     member = np.arange(len(names)) if loops else np.flatnonzero(parent != np.arange(len(names)))
     return pa.table({"u": names.take(pa.array(parent[member])), "v": names.take(pa.array(member))})
 
 
-def _contract(loops: bool, chunk: int = 500_000):
+def _contract(chunk: int):
     """Stars of one partition. Edges come in chunks and only stars are kept, so memory follows the vertices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,39 +69,43 @@ def _contract(loops: bool, chunk: int = 500_000):
             held.append(batch)
             rows += batch.num_rows
             if rows >= max(chunk, 2 * kept):
-                stars = _stars(pa.Table.from_batches(held), loops)
+                stars = _stars(held, False)
                 held, rows, kept = stars.to_batches(), stars.num_rows, stars.num_rows
         if rows:
-            yield from _stars(pa.Table.from_batches(held), loops).to_batches(max_chunksize=65536)
+            yield from _stars(held, False).to_batches(max_chunksize=65536)
 
     return run
 
 
-def _local(batches: Iterator[pa.RecordBatch], chunk: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Stars of stretches of at most ``chunk`` pairs, with loops: bounded memory, as the pairs of a task are not."""
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= chunk:
-            yield from _stars(pa.Table.from_batches(held), True).to_batches(max_chunksize=65536)
-            held, rows = [], 0
-    if rows:
-        yield from _stars(pa.Table.from_batches(held), True).to_batches(max_chunksize=65536)
+def _local(chunk: int):
+    """Stars of stretches of about ``chunk`` pairs, with loops: bounded memory, as the pairs of a task are not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= chunk:
+                yield from _stars(held, True).to_batches(max_chunksize=65536)
+                held, rows = [], 0
+        if rows:
+            yield from _stars(held, True).to_batches(max_chunksize=65536)
+
+    return run
 
 
-def components(pairs: DataFrame, u: str, v: str, blocks: int | None = None, max_rounds: int = 50, cell: int = 1_000_000) -> DataFrame:
+def components(pairs: DataFrame, u: str, v: str, blocks: int | None = None, max_rounds: int = 50, cell: int = 1_000_000, chunk: int = 500_000) -> DataFrame:
     """(vertex, group) for every vertex of ``pairs``. ``blocks`` squared partitions make up the grid; None: by ``cell`` edges each."""
     kind = dict(pairs.dtypes)[u]
     ddl = f"u {kind}, v {kind}"
     named = pairs.select(F.col(u).alias("u"), F.col(v).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
-    local = cut_lineage(named.mapInArrow(_local, ddl))
+    local = cut_lineage(named.mapInArrow(_local(chunk), ddl))
     edges, labels = local.where(F.col("u") != F.col("v")), None
     for _ in range(max_rounds):
         side = blocks or max(1, int(np.ceil(np.sqrt(edges.count() / cell))))
         block = [F.pmod(F.xxhash64(c), F.lit(side)) for c in ("u", "v")]
         place = (block[0] * side + block[1]).cast("int")
-        stars = cut_lineage(edges.repartitionById(side * side, place).mapInArrow(_contract(False), ddl))
+        stars = cut_lineage(edges.repartitionById(side * side, place).mapInArrow(_contract(chunk), ddl))
         if side == 1:  # one partition saw every edge left, and its stars are the groups
             roots = stars.select("v", F.col("u").alias("p"))
             labels = roots if labels is None else _flatten(labels.unionByName(roots))

@@ -90,8 +90,9 @@ def test_files_by_byte_ranges(spark, tmp_path):
 
 # -- groups ------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("shape", ["random", "path", "star"])
-@pytest.mark.parametrize("blocks", [None, 3])
-def test_components(spark, shape, blocks):
+@pytest.mark.parametrize("blocks, chunk", [(None, 500_000), (None, 20), (3, 7)])
+def test_components(spark, shape, blocks, chunk):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5" if chunk < 100 else "10000")
     rng = random.Random(1)
     if shape == "random":
         pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(7, 7), (500, 500), (None, 3), (4, None)] + [(1, 2)] * 5
@@ -100,7 +101,7 @@ def test_components(spark, shape, blocks):
         pairs = list(zip(names, names[1:]))
     else:
         pairs = [(999, i) for i in range(200)]
-    got = {r["vertex"]: r["group"] for r in groups.components(spark.createDataFrame(pairs, "a long, b long").repartition(4), "a", "b", blocks=blocks).collect()}
+    got = {r["vertex"]: r["group"] for r in groups.components(spark.createDataFrame(pairs, "a long, b long").repartition(4), "a", "b", blocks=blocks, chunk=chunk).collect()}
     parent = {}
 
     def find(x):
@@ -112,6 +113,7 @@ def test_components(spark, shape, blocks):
         if a is not None and b is not None:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     assert got == {v: find(v) for v in parent}
 
 
