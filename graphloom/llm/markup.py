@@ -32,6 +32,8 @@ KINDS = ["heading", "item", "code", "formula"]
 
 _TOKEN = re.compile(
     r"""
+    (?:(?=[<{\\$`~])|(?=^[ ]{1,3}[`~]))  # no markup begins with anything else: letters are passed over at once
+    (?:
     (?P<comment><!--.*?(?:-->|\Z))
   | (?P<raw><(?P<rawtag>script|style|noscript|template)\b[^>]*>.*?(?:</(?P=rawtag)\s*>|\Z))
   | (?P<nowiki><nowiki\s*>.*?(?:</nowiki\s*>|\Z)|<nowiki\s*/>)
@@ -50,6 +52,7 @@ _TOKEN = re.compile(
   | (?P<tick>(?P<ticks>`+)(?!`)(?P<ticktext>[^\n]+?)(?<!`)(?P=ticks)(?!`))
   | (?P<dollar>\$(?![\s$])(?P<dotext>[^$\n`]*?[^\s$\\`])\$(?!\d))
   | (?P<tag><(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9]*)\b(?P<attr>(?:[^<>"']|"[^"]*"|'[^']*')*)>)
+    )
 """,
     re.S | re.M | re.X,
 )
