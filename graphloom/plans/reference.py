@@ -447,12 +447,9 @@ def root_entities(spark: SparkSession, d: str) -> DataFrame:
     return a.join(w, "title", "left").select("article_id", "root", "has_tokens")
 
 
-@query(f"""WITH n AS (SELECT DISTINCT id, alias, string_split(alias, ' ') AS w FROM (SELECT id, unnest(aliases) AS alias FROM alias_db) WHERE regexp_matches(alias, '^[\\p{{L}}\\p{{N}}]+( [\\p{{L}}\\p{{N}}]+)*$')),
-big AS (SELECT article_id, pos, token, lead(token) OVER (PARTITION BY article_id ORDER BY pos) AS t2, lead(token, 2) OVER (PARTITION BY article_id ORDER BY pos) AS t3 FROM ({_TOKENS}))
-SELECT article_id, CAST(pos AS INTEGER) AS pos, CAST(max(len(w)) AS INTEGER) AS words, min_by(id, (-len(w), id)) AS id FROM big JOIN n
-ON (len(w) = 3 AND w[1] = token AND w[2] = t2 AND w[3] = t3) OR (len(w) = 2 AND w[1] = token AND w[2] = t2) GROUP BY ALL""")
+@query()
 def alias_match_longest(spark: SparkSession, d: str) -> DataFrame:
-    """JN10, SRT7: where names of any length stand, the longest at each place. The SQL knows plain names of two or three words only."""
+    """JN10, SRT7: where names of any length and with any signs stand, the longest at each place."""
     names = table(spark, d, "alias_db").select("id", F.explode("aliases").alias("alias"))
     return annotate.longest_names(_articles(spark, d).select("article_id", text.flatten_tokens("tokens").alias("flat")), names)
 
