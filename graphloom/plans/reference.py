@@ -447,7 +447,13 @@ def root_entities(spark: SparkSession, d: str) -> DataFrame:
     return a.join(w, "title", "left").select("article_id", "root", "has_tokens")
 
 
-@query()
+_SIGNS = r"[\p{L}\p{M}\p{N}]+(?:[''’.\-][\p{L}\p{M}\p{N}]+)*|[^\s\p{L}\p{M}\p{N}]"
+
+
+@query(f"""WITH n AS (SELECT name, min(id) AS id FROM (SELECT id, regexp_extract_all(alias, '{_SIGNS}') AS name FROM (SELECT id, unnest(aliases) AS alias FROM alias_db)) WHERE len(name) > 0 GROUP BY name),
+f AS (SELECT article_id, flatten(list_transform(tokens, lambda s: coalesce(s, []))) AS flat FROM ({_ART})),
+g AS (SELECT article_id, pos, k, flat[pos + 1:pos + k] AS name FROM (SELECT article_id, flat, unnest(range(len(flat))) AS pos FROM f) CROSS JOIN (SELECT DISTINCT len(name) AS k FROM n) WHERE pos + k <= len(flat))
+SELECT article_id, CAST(pos AS INTEGER) AS pos, CAST(max(k) AS INTEGER) AS words, max_by(id, k) AS id FROM g JOIN n USING (name) GROUP BY article_id, pos""")
 def alias_match_longest(spark: SparkSession, d: str) -> DataFrame:
     """JN10, SRT7: where names of any length and with any signs stand, the longest at each place."""
     names = table(spark, d, "alias_db").select("id", F.explode("aliases").alias("alias"))
