@@ -58,6 +58,14 @@ def written_dates(iso: str | None, precision: int | None) -> list[str]:
     return out
 
 
+def plain_dates(iso: str | None, precision: int | None) -> list[str]:
+    """``written_dates`` without eras."""
+    m = re.match(_ISO, iso) if isinstance(iso, str) else None
+    if m is None or precision is None or precision != precision or precision > 11:
+        return []
+    return [format_date(int(m[1]), int(m[2]), int(m[3]), template, strip) for template, _, strip in {11: DAY_FORMATS, 10: MONTH_FORMATS}.get(int(precision), YEAR_FORMATS)]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _dates(iso: pd.Series, precision: pd.Series) -> pd.Series:
     return pd.Series([written_dates(*x) for x in zip(iso, precision)], dtype=object)
@@ -75,14 +83,19 @@ def fixed4(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else f"{v:.4f}")
 
 
+def written_amounts(value: float, unit: bool) -> list[str]:
+    """All ways to write a number before a unit, in four precisions; without a unit, the bare number."""
+    return [format(value, p) for p in ("f", "1.0f", "0.1f", "0.2f")] if unit else [str(float(value))]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _amounts(x: pd.Series, long: pd.Series, short: pd.Series) -> pd.Series:
     def one(v, name, sign):
         if pd.isna(v):
             return []
         if name is None or pd.isna(name):
-            return [str(float(v))]
-        return [f"{format(v, p)} {u}" for p in ("f", "1.0f", "0.1f", "0.2f") for u in (name, sign)]
+            return written_amounts(v, False)
+        return [f"{n} {u}" for n in written_amounts(v, True) for u in (name, sign)]
 
     return pd.Series([one(*t) for t in zip(x, long, short)])
 

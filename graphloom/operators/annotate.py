@@ -1,10 +1,13 @@
 """The annotator: every mention of an entity with the relation and parent that explain it.
 
 Set-based stages gather, per document, the ids it links to and the part of the knowledge graph that its own
-words can reach: an edge is kept if its subject is reached and its object is linked in the document or one
-of its names begins with words that occur there. Then one sequential pass per document, in Arrow batches,
-merges the evidence (links, entity linker, coreference, exact names) and tells each mention's story; a match
-changes the names that may match next, so this pass can't be set-based.
+words can reach: an object is reached from a subject if one of its names begins with words that occur in the
+document, and no object that comes before it has the same name (the first owner of a name keeps it). All edges
+between reached ids are kept, and those to literals whose names begin with words of the document. Words and ids
+travel as hashes; where two fall together, edges are kept that the document doesn't need, which changes nothing.
+Then one sequential pass per document, in Arrow batches, merges the evidence (links, entity linker, coreference,
+exact names) and tells each mention's story; a match changes the names that may match next, so this pass can't
+be set-based.
 
 Defined cases
 * an unknown or null title gives an empty list of annotations; null entities, nel and clusters count as none
@@ -15,18 +18,22 @@ Defined cases
 
 from __future__ import annotations
 
+import functools
 import itertools
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.literals import literal_id, quantity_aliases, time_aliases
-from ..functions.text import PRONOUNS, alias_tokens, bad_alias, capitalize_tokens, flatten_tokens, format_wikilink
-from ..session import salted_join, written
+from ..functions.literals import amount_value, literal_id, plain_dates, written_amounts, written_dates
+from ..functions.text import PRONOUNS, STOP_WORDS, alias_tokens, bad_alias, capitalize_tokens, flatten_tokens, format_wikilink
+from ..session import written
 from .trie import TokenTrie
 
 ANNOTATION = "array<struct<source:string,id:string,relation:array<string>,parent_id:array<string>,span:array<int>>>"
@@ -203,26 +210,78 @@ def graph_edges(relation: DataFrame, known: DataFrame, same_as: str = "P395") ->
     return both.join(stop, "subject", "left").where(F.coalesce(F.col("ord") <= F.col("stop"), F.lit(True))).drop("stop")
 
 
-def name_table(aliases: DataFrame, edges: DataFrame, units: DataFrame | None = None) -> DataFrame:
-    """(id, ord, name): tokens of all usable names of entities and literals."""
-    ents = aliases.select("id", F.posexplode("aliases").alias("ord", "alias"))
-    # a literal is written out once, however many edges lead to it
-    edges = edges.where("kind <> 'wikibase-entityid'").dropDuplicates(["child"])
-    times = edges.where("kind = 'time'").select("child", F.posexplode(time_aliases(F.col("v.time"), F.col("v.precision"))).alias("ord", "alias"))
-    q = edges.where("kind = 'quantity'").select("child", "v.amount", F.regexp_extract("v.unit", r"([^/]*)$", 1).alias("unit"))
+def entity_names(aliases: DataFrame) -> DataFrame:
+    """(id, ord, name): all usable names of entities, their tokens joined by blanks (no token holds a blank)."""
+    rows = aliases.select("id", F.posexplode("aliases").alias("ord", "alias")).select("id", "ord", alias_tokens("alias").alias("name"))
+    return rows.where(~bad_alias("name")).select("id", "ord", F.array_join("name", " ").alias("name"))
+
+
+_ASCII = re.compile(r"[A-Za-z0-9]+(?:['.\-][A-Za-z0-9]+)*|[^\sA-Za-z0-9]")
+_STOP = frozenset(STOP_WORDS)
+
+
+@functools.lru_cache(maxsize=20_000)
+def date_names(iso: str, precision: int) -> list[list[str]]:
+    """Tokens of all usable spellings of a date; these hold ASCII only, so this is the shared tokenizer."""
+    found = (_ASCII.findall(x) for x in dict.fromkeys(written_dates(iso, precision)))
+    return [t for t in found if not all(w.lower() in _STOP for w in t)]
+
+
+def date_fronts(iso: str | None, precision: int | None) -> list[list[str]]:
+    """First words of spellings, so that a text with any spelling holds some of them.
+
+    A spelling that holds the bare year stands nowhere without the year, which is a spelling itself.
+    """
+    names = [_ASCII.findall(x) for x in dict.fromkeys(plain_dates(iso, precision))]
+    if not all(names):  # a year without digits left: only the era is written
+        names = date_names(iso, precision)
+    year = next((n[0] for n in reversed(names) if len(n) == 1 and n[0].isdigit()), None)
+    return [m for m in names if m == [year] or year not in m]
+
+
+@functools.lru_cache(maxsize=20_000)
+def amount_names(spelled: str) -> list[list[str]]:
+    """Tokens of the spellings of a quantity: its value, then the tokens of the unit's names, if it has one, a line each."""
+    value, *units = spelled.split("\n")
+    units = [u.split(" ") for u in units if u]
+    return [_ASCII.findall(x) + u for x in written_amounts(float(value), bool(units)) for u in units or [[]]]
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _fronts(iso: pd.Series, precision: pd.Series, spelled: pd.Series) -> pd.Series:
+    """First two words of spellings of a date or a quantity, as they are and capitalised."""
+
+    def one(t, p, q):
+        names = amount_names(q) if isinstance(q, str) else date_fronts(t, p)
+        return [list(x) for x in dict.fromkeys(n for m in names for n in (tuple(m[:2]), (_capital(m[0]), *m[1:2])))]
+
+    return pd.Series([one(*x) for x in zip(iso, precision, spelled)], dtype=object)
+
+
+def literal_names(edges: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """(child, keys, spelled): what a text must hold for a literal to stand in it, and what ``amount_names`` reads of a quantity.
+
+    A literal is written out once, however many edges lead to it.
+    """
+    times = edges.where("kind = 'time'").select("child", "v.time", "v.precision").dropDuplicates(["child"]).withColumn("spelled", F.lit(None).cast("string"))
+    q = edges.where("kind = 'quantity'").groupBy("child").agg(F.min(F.struct("v.amount", "v.unit")).alias("v")).select("child", "v.amount", F.regexp_extract("v.unit", r"([^/]*)$", 1).alias("unit"))
+    value = amount_value(F.col("amount")).cast("string")
     if units is not None:
-        q = q.join(units.where("unit <> '1'").select("unit", "label", "symbol"), "unit", "left")
+        said = units.where("unit <> '1' AND label IS NOT NULL").select("unit", *(F.array_join(alias_tokens(c), " ").alias(c) for c in ("label", "symbol")))
+        q = q.join(said, "unit", "left").select("child", F.concat_ws("\n", value, "label", "symbol").alias("spelled"))
     else:
-        q = q.withColumn("label", F.lit(None).cast("string")).withColumn("symbol", F.lit(None).cast("string"))
-    amounts = q.select("child", F.posexplode(quantity_aliases(F.col("amount"), F.col("label"), F.col("symbol"))).alias("ord", "alias"))
-    lits = times.unionByName(amounts).withColumnRenamed("child", "id")
-    rows = ents.unionByName(lits).select("id", "ord", alias_tokens("alias").alias("name"))
-    return rows.where(~bad_alias("name"))
+        q = q.select("child", value.alias("spelled"))
+    both = times.unionByName(q, allowMissingColumns=True).withColumn("words", _fronts("time", "precision", "spelled"))
+    return both.select("child", F.transform("words", _front).alias("keys"), "spelled")
+
 
+def _front(tokens):
+    """Hash of what a name must share with a text: its only word, or its first two."""
+    return F.hash(F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1)))
 
-def _first_words(tokens):
-    """What a name must share with a text: its only word, or its first two."""
-    return F.array_join(F.slice(tokens, F.lit(1), F.lit(2)), " ")
+
+def _short(x):
+    return (F.pmod(x, F.lit(65536)) - 32768).cast("short")
 
 
 def longest_names(docs: DataFrame, aliases: DataFrame, key: str = "article_id") -> DataFrame:
@@ -249,72 +308,119 @@ def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: Dat
     """
     kind = dict(docs.dtypes)[key]
     titles = wiki.groupBy("title").agg(F.min("id").alias("id"))
-    base = docs.select(F.col(key).alias("doc"), format_wikilink("title").alias("title"), flatten_tokens("tokens").alias("tokens"), "entities", "nel", "clusters")
-    base = base.join(titles.withColumnRenamed("id", "root"), "title", "left").drop("title")
-    nel = base.select("doc", F.posexplode("nel").alias("no", "c")).select("doc", "no", "c", format_wikilink("c.label").alias("title")).where(F.col("c.score") >= opt.score)
-    nel = nel.join(titles, "title", "left").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("no", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.score").alias("score"), "id"))).alias("linker"))
-    base = written(base.drop("nel").join(nel, "doc", "left"))
-    linked = F.array_compact(F.array_union(F.coalesce(F.transform("entities", lambda e: e["id"]), F.array().cast("array<string>")), F.array_union(F.coalesce(F.transform("linker", lambda c: c["id"]), F.array().cast("array<string>")), F.array("root"))))
-    known_docs = base.where("root IS NOT NULL")
-    stamped = known_docs.select("doc", F.explode(linked).alias("id")).distinct()
+    nel = F.transform(
+        F.filter(F.coalesce("nel", F.array()), lambda c: (c["score"] >= opt.score) & ~F.isnan(c["score"])),
+        lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), format_wikilink(c["label"]).alias("title")),
+    )
+    base = docs.select(F.col(key).alias("doc"), format_wikilink("title").alias("title"), flatten_tokens("tokens").alias("tokens"), "entities", nel.alias("nel"), "clusters")
+    base = written(base)
+    own = F.array(F.struct("title", F.lit(True).alias("own")))
+    asked = base.select("doc", F.explode(F.array_distinct(F.concat(own, F.transform("nel", lambda c: F.struct(c["title"].alias("title"), F.lit(False).alias("own")))))).alias("x")).select("doc", "x.*")
+    found = written(asked.where("title IS NOT NULL").join(titles, "title"))
+    roots = found.where("own").select("doc")
+    links = base.select("doc", F.explode(F.array_distinct(F.transform("entities", lambda e: e["id"]))).alias("id")).where("id IS NOT NULL")
+    stamped = written(links.unionByName(found.select("doc", "id")).distinct().join(roots, "doc", "left_semi"))
+
     known = aliases.select("id").distinct()
     full = written(graph_edges(relation, known, opt.same_as))
-    names = written(name_table(aliases, full, units))
-    edge = full.select("subject", "ord", "prop", "child").distinct()
-    fronts = names.select("id", F.explode(F.array(_first_words(F.col("name")), _first_words(capitalize_tokens("name")))).alias("w")).distinct()
-    # Evidence of a document: its linked ids, and those of its words and pairs of words that a name begins with.
-    toks = known_docs.select("doc", "tokens")
-    pair = F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(1))), lambda i: _first_words(F.slice("tokens", i, 2)))
-    words = toks.where("size(tokens) > 0").select("doc", F.explode(F.array_distinct(F.concat("tokens", pair))).alias("w")).where("w IS NOT NULL")
-    words = words.join(fronts.select("w").distinct(), "w", "left_semi")
-    # read again at every hop, like the lookup below, so both are made once
-    evidence = written(words.select("doc", F.concat(F.lit("w:"), "w").alias("e")).unionByName(stamped.select("doc", F.concat(F.lit("i:"), "id").alias("e"))))
-    # Edges by what lets a document follow them; what stands in no document is left out before it meets an edge.
-    met = evidence.select("e").distinct()
-    starts = fronts.select(F.col("id").alias("child"), F.concat(F.lit("w:"), "w").alias("e")).unionByName(edge.select("child", F.concat(F.lit("i:"), "child").alias("e")).distinct())
-    lookup = written(edge.join(starts.join(met, "e", "left_semi"), "child").select("subject", "ord", "prop", "child", "e"))
-    hubs = lookup.groupBy("subject").count().where(F.col("count") > hot_degree).select("subject")
-    cold, hot = lookup.join(hubs, "subject", "left_anti"), lookup.join(hubs, "subject", "left_semi")
-    def followed(ids: DataFrame) -> DataFrame:
-        """Edges that a document can follow from its ids (doc, id)."""
+    names = written(entity_names(aliases).groupBy("id", "name").agg(F.min("ord").alias("ord")))
+    edge = full.where("kind = 'wikibase-entityid'").select("subject", "ord", "prop", "child").distinct()
+    # How objects are reached: of equal names of a subject's objects the first in order counts, as it does below.
+    words = F.split("name", " ", -1)
+    heads = edge.join(names.select(F.col("id").alias("child"), "name"), "child").groupBy("subject", "name").agg(F.min(F.struct("ord", "prop", "child")).alias("x"))
+    ways = heads.select("subject", F.col("x.child").alias("child"), F.explode(F.array_distinct(F.array(_front(words), _front(capitalize_tokens(words))))).alias("key"))
+    ways = written(ways.distinct())
+    # What the last pass needs of an entity: its edges, and its names in a row of their own that is always kept.
+    spelled = literal_names(full, units)
+    told = full.where("kind <> 'wikibase-entityid'").select("subject", "ord", "prop", "child").distinct().join(spelled, "child", "left")
+    told = told.select("subject", "ord", "prop", "child", F.coalesce("spelled", F.lit("")).alias("spelled"), F.explode(F.array_append(F.coalesce("keys", F.array().cast("array<int>")), F.hash("child"))).alias("key"))
+    facts = written(edge.select("subject", "ord", "prop", "child", F.lit(None).cast("string").alias("spelled"), F.hash("child").alias("key")).unionByName(told))
+    listed = known.join(names.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), "\n").alias("spelled")), "id", "left")
+    hubs = written(full.groupBy("subject").count().where(F.col("count") > hot_degree).select("subject"))
+
+    # Evidence of a document: hashes of those of its words and pairs of words that a name begins with.
+    toks = base.select("doc", "tokens").where("size(tokens) > 0").join(roots, "doc", "left_semi")
+    pairs = F.zip_with("tokens", F.slice("tokens", F.lit(2), F.size("tokens")), lambda a, b: F.hash(a, b))
+    seen = toks.select("doc", F.explode(F.array_distinct(F.concat(F.transform("tokens", lambda a: F.hash(a)), pairs))).alias("key"))
+    fronts = ways.select("key").unionByName(facts.where("spelled IS NOT NULL").select("key")).distinct()
+    evidence = written(seen.join(fronts, "key", "left_semi").groupBy("doc").agg(F.collect_list("key").alias("held")))
+
+    def spread(start: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Both with a salt: subjects that more than ``hot_rows`` documents reach go to several tasks."""
+        # at most one in hot_rows subjects is in here
+        busy = F.broadcast(start.groupBy("subject").agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("salts")).where("salts > 1"))
+        some = F.coalesce("salts", F.lit(1))
+        left = start.join(busy, "subject", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), some).cast("int")).drop("salts")
+        return left, table.join(busy, "subject", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), some - 1))).drop("salts")
+
+    colder, hotter = ways.join(hubs, "subject", "left_anti"), ways.join(hubs, "subject", "left_semi")
+
+    def reachable(ids: DataFrame) -> DataFrame:
+        """(doc, id) that a document reaches from its ids (doc, id) in one step."""
         start = ids.withColumnRenamed("id", "subject")
-        # a subject may be reached by a third of all documents
-        near = salted_join(start, cold, "subject", hot_rows=hot_rows).join(evidence, ["doc", "e"], "left_semi")
-        far = start.join(hubs, "subject", "left_semi").join(evidence, "doc").join(hot, ["subject", "e"])
-        return near.select("doc", "subject", "ord", "prop", "child").unionByName(far.select("doc", "subject", "ord", "prop", "child"))
+        left, right = spread(start, colder)
+        near = left.join(evidence, "doc").join(right, ["subject", "salt"]).where(F.array_contains("held", F.col("key")))
+        far = start.join(hubs, "subject", "left_semi").join(evidence, "doc").select("doc", "subject", F.explode("held").alias("key")).join(hotter, ["subject", "key"])
+        return near.select("doc", F.col("child").alias("id")).unionByName(far.select("doc", F.col("child").alias("id"))).distinct()
 
     # Ids reached from the linked ones, hop by hop, as far as the document's words lead; only ids are kept between hops.
     frontier, reached = stamped, stamped
     # every round adds new (doc, id) only, so this ends, however long a chain is
     for hop in itertools.count(1):
-        frontier = written(followed(frontier).select("doc", F.col("child").alias("id")).distinct().join(reached, ["doc", "id"], "left_anti"))
+        frontier = written(reachable(frontier).join(reached, ["doc", "id"], "left_anti"))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
         if hop % 8 == 0:  # else plan and tasks grow with every round
             reached = written(reached.repartition("doc", "id"))
-    reached = written(reached.repartition("doc", "id"))
-    per_edge = followed(reached).distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("subject", "ord", "prop", "child"))).alias("edges"))
-    listed = names.groupBy("id").agg(F.transform(F.sort_array(F.collect_set(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"))
-    listed = known.unionByName(names.select("id").distinct()).distinct().join(listed, "id", "left")
-    per_name = reached.join(listed, "id").groupBy("doc").agg(F.collect_list(F.struct("id", F.coalesce("names", F.array().cast("array<array<string>>")).alias("names"))).alias("names"))
-    ready = base.join(per_edge, "doc", "left").join(per_name, "doc", "left")
+    reached = reached.withColumnRenamed("id", "subject")
+    left, right = spread(reached, facts.join(hubs, "subject", "left_anti").unionByName(listed.select(F.col("id").alias("subject"), "spelled"), allowMissingColumns=True))
+    held = reached.groupBy("doc").agg(F.collect_list(F.hash("subject")).alias("ids")).join(evidence, "doc", "left")
+    full_held = held.select("doc", F.concat("ids", F.coalesce("held", F.array().cast("array<int>"))).alias("held"))
+    # sent along with every id of a document, so half of each hash must do
+    held = full_held.select("doc", F.array_distinct(F.transform("held", _short)).alias("held"))
+    row = F.struct("subject", "ord", "prop", "child", "spelled").alias("row")
+    near = left.join(held, "doc").join(right, ["subject", "salt"]).where(F.col("key").isNull() | F.array_contains("held", _short("key"))).select("doc", row)
+    hot = facts.join(hubs, "subject", "left_semi")
+    far = reached.join(hubs, "subject", "left_semi").join(full_held, "doc").select("doc", "subject", F.explode(F.array_distinct("held")).alias("key")).join(hot, ["subject", "key"]).select("doc", row)
+    rows = near.unionByName(far).groupBy("doc").agg(F.collect_set("row").alias("rows"))
+    ids = found.groupBy("doc").agg(F.collect_list(F.struct("title", "id")).alias("ids"))
+    text = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    ready = base.select("doc", text("title", "tokens", "entities", "nel", "clusters").alias("text"))  # smaller than its parts
+    ready = ready.join(rows, "doc", "left").join(ids, "doc", "left").select("doc", "text", text("rows", "ids").alias("graph"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                get = lambda c, r=r: r[c] or []
-                graph: dict = {}
-                for e in get("edges"):
-                    graph.setdefault(e["subject"], []).append((e["prop"], e["child"]))
-                held = {x["id"]: [list(t) for t in x["names"]] for x in get("names")}
-                # literals have names but are never expanded
-                tokens = [t if t is not None else "" for t in get("tokens")]
-                out.append(annotate_one(tokens, r["root"], get("entities"), get("linker"), get("clusters"), _Names(held), graph, opt))
+            out = [_annotated(json.loads(x) | json.loads(g), opt) for x, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, _ANNOTATION)], names=[key, "annotations"])
 
-    return ready.select("doc", "tokens", "root", "entities", "linker", "clusters", "edges", "names").mapInArrow(run, f"{key} {kind}, annotations {ANNOTATION}")
+    return ready.mapInArrow(run, f"{key} {kind}, annotations {ANNOTATION}")
+
+
+def _annotated(r: dict, opt: Options) -> list[dict]:
+    """Annotations of a document with its part of the graph: ids of titles, rows of edges and names."""
+    ids = {x["title"]: x["id"] for x in r["ids"] or []}
+    names: dict[str, list[list[str]]] = {}
+    edges: dict[str, list] = {}
+    for x in r["rows"] or []:
+        child = x["child"]
+        if child is None:
+            names[x["subject"]] = [n.split(" ") for n in (x["spelled"] or "").split("\n") if n]
+            continue
+        edges.setdefault(x["subject"], []).append((x["ord"], x["prop"], child))
+        # literals have names but are never expanded
+        if child in names or x["spelled"] is None:
+            continue
+        if x["spelled"]:
+            names[child] = amount_names(x["spelled"])
+        else:
+            precision, _, iso = child[3:].partition("::")
+            names[child] = date_names(iso, int(precision))
+    # as Spark orders rows: nulls first
+    graph = {s: [e[1:] for e in sorted(es, key=lambda e: [(v is not None, v) for v in e])] for s, es in edges.items()}
+    tokens = [t if t is not None else "" for t in r["tokens"] or []]
+    linker = [{**c, "score": opt.score, "id": ids.get(c["title"])} for c in r["nel"] or []]
+    return annotate_one(tokens, ids.get(r["title"]), r["entities"], linker, r["clusters"], _Names(names), graph, opt)
 
 
 class _Names(dict):

@@ -132,6 +132,55 @@ def test_annotator_follows_long_chains(spark):
     assert [(a["id"], a["parent_id"]) for a in got] == [("Q0", ["Q0"])] + [(f"Q{i}", [f"Q{i - 1}"]) for i in range(1, n)]
 
 
+@pytest.mark.parametrize("opt", [annotate.Options()])
+@pytest.mark.parametrize("hot", [50, 1000])
+def test_annotator_reaches_first_owner_of_a_name_only(spark, monkeypatch, opt, hot):
+    """A hub has many objects of one name: only the first, the linked and those named in full are reached, and nothing changes by it."""
+    n = 300
+    toks = "Hub stands by Creek , by W7 Creek and by W9 Creek since 26 October and 1791 , 5.0 km off .".split()
+    ents, edges = [("Q0", 0, 1), ("Q12", 8, 10)], [("Q0", k, "P1", f"Q{k}") for k in range(1, n)]
+    names = {"Q0": ["Hub"]} | {f"Q{k}": [f"W{k} Creek", "Creek"] for k in range(1, n)}
+    days, amount = {f"T::11::+1791-{m:02d}-26T00:00:00Z": (f"+1791-{m:02d}-26T00:00:00Z", 11) for m in (10, 11)}, ("V::5.0000::x/U1", "5", "x/U1")
+    ddl = f"article_id long, title string, tokens array<array<string>>, entities {readers.SPANS}, nel array<struct<score:double,tokens:string,start:int,end:int,label:string>>, clusters {readers.CLUSTERS}"
+    df = spark.createDataFrame([(1, "title 0", [toks], ents, [(float("nan"), "x", 0, 1, "title 0")], None)], ddl)
+    alias = spark.createDataFrame(list(names.items()), "id string, aliases array<string>")
+    value = "value struct<type:string,value:struct<id:string,time:string,precision:int,amount:string,unit:string>>"
+    rel = [(s, o, p, ("wikibase-entityid", (c, None, None, None, None))) for s, o, p, c in edges]
+    rel += [("Q0", n + i, "P2", ("time", (None, *d, None, None))) for i, d in enumerate(days.values())] + [("Q0", n + 5, "P3", ("quantity", (None, None, None, *amount[1:])))]
+    relation = spark.createDataFrame(rel, f"subject string, ord int, prop string, {value}")
+    units = spark.createDataFrame([("U1", "kilometre", "km")], "unit string, label string, symbol string")
+    sent, write = [], annotate.written
+    monkeypatch.setattr(annotate, "written", lambda d, *by: sent.append(write(d, *by)) or sent[-1])
+    wiki = spark.createDataFrame([("Title_0", "Q0")], "title string, id string")
+    got = [a.asDict() for a in annotate.annotate(df, wiki, alias, relation, units, opt, hot_degree=hot).first()["annotations"]]
+    graph = {"Q0": [("P1", c) for *_, c in edges] + [("P2", t) for t in days] + [("P3", amount[0])]}
+    held = {k: [x.split() for x in v] for k, v in names.items()} | {t: [text.split() for text in literals.written_dates(*d)] for t, d in days.items()} | {amount[0]: [["5.0", "km"]]}
+    assert got == annotate.annotate_one(toks, "Q0", [dict(zip(("id", "start", "end"), e)) for e in ents], [], [], annotate._Names(held), graph, opt)
+    first = "Q12" if opt.match_aliases else "Q1"
+    assert {"Q0", first, "Q7", "Q9", *list(days)[:1], amount[0]} <= {a["id"] for a in got}
+    assert sum(d.count() for d in sent if d.columns == ["doc", "id"]) <= 6
+
+
+def test_literal_fronts(spark):
+    """A text with any spelling of a literal holds the first words of some spelling that is looked for; names are as the shared tokenizer has them."""
+    rng = random.Random(5)
+    dates = [(f"{rng.choice('+-')}{rng.choice([0, 5, 26, 1791, 12000]):04d}-{rng.randrange(14):02d}-{rng.choice([0, 5, 26]):02d}T00:00:00Z", rng.choice([7, 9, 10, 11, 12])) for _ in range(300)]
+    capital = lambda t: [annotate._capital(t[0]), *t[1:]]
+    df = spark.createDataFrame([(i, k, literals.written_dates(i, k)) for i, k in dates], "iso string, k int, texts array<string>").select("iso", "k", F.explode("texts").alias("t"))
+    rows = df.select("iso", "k", text.alias_tokens("t").alias("t")).where(~text.bad_alias("t")).collect()
+    assert rows
+    for r in rows:
+        assert r["t"] in annotate.date_names(r["iso"], r["k"])
+        for said in (r["t"], capital(r["t"])):
+            places = {tuple(said[i : i + k]) for i in range(len(said)) for k in (1, 2)}
+            assert any(tuple(f[:2]) in places for m in annotate.date_fronts(r["iso"], r["k"]) for f in (m, capital(m)))
+    amounts = [("5", "kilometre", "km/h"), ("-0.56202", "square metre", "m²"), ("1e30", None, None), ("7", None, None), ("-2.5", None, None)]
+    df = spark.createDataFrame(amounts, "amount string, label string, symbol string")
+    df = df.select("amount", text.alias_tokens("label").alias("l"), text.alias_tokens("symbol").alias("s"), F.transform(literals.quantity_aliases(F.col("amount"), F.col("label"), F.col("symbol")), text.alias_tokens).alias("want"))
+    for r in df.collect():
+        assert annotate.amount_names("\n".join([str(float(r["amount"])), *(" ".join(u) for u in (r["l"], r["s"]) if u)])) == r["want"]
+
+
 def test_longest_names_of_any_length(spark):
     """One word, more than three, and signs; against all runs of all lengths."""
     rng = random.Random(3)
