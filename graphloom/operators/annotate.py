@@ -1,7 +1,7 @@
 """The annotator: every mention of an entity with the relation and parent that explain it.
 
 Set-based stages gather, per document, the ids it links to and the part of the knowledge graph that its own
-words can reach: an object is reached from a subject if one of its names begins with words that occur in the
+words can reach: an object is reached from a subject if the rarest words of one of its names occur in the
 document, and no object that comes before it has the same name (the first owner of a name keeps it). All edges
 between reached ids are kept, and those to literals whose names begin with words of the document. Words and ids
 travel as hashes; where two fall together, edges are kept that the document doesn't need, which changes nothing.
@@ -216,6 +216,18 @@ def entity_names(aliases: DataFrame) -> DataFrame:
     return rows.where(~bad_alias("name")).select("id", "ord", F.array_join("name", " ").alias("name"))
 
 
+def name_keys(names: DataFrame) -> DataFrame:
+    """(name, keys): hashes of the only word, or of the two adjoining words that the fewest names hold, of a name as it is and capitalised.
+
+    A text with the name holds these words; that a thousand names begin alike doesn't matter then.
+    """
+    words = F.split("name", " ", -1)
+    pairs = lambda t: F.when(F.size(t) == 1, F.array(F.hash(F.get(t, F.lit(0)), F.lit(None)))).otherwise(F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.hash(a, b)))
+    held = names.select("name").distinct().select("name", F.posexplode(F.array(pairs(words), pairs(capitalize_tokens(words)))).alias("form", "k")).select("name", "form", F.explode("k").alias("key"))
+    least = held.join(held.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("name", "form").agg(F.min(F.struct("n", "key"))["key"].alias("key"))
+    return least.groupBy("name").agg(F.collect_set("key").alias("keys"))
+
+
 _ASCII = re.compile(r"[A-Za-z0-9]+(?:['.\-][A-Za-z0-9]+)*|[^\sA-Za-z0-9]")
 _STOP = frozenset(STOP_WORDS)
 
@@ -326,9 +338,9 @@ def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: Dat
     names = written(entity_names(aliases).groupBy("id", "name").agg(F.min("ord").alias("ord")))
     edge = full.where("kind = 'wikibase-entityid'").select("subject", "ord", "prop", "child").distinct()
     # How objects are reached: of equal names of a subject's objects the first in order counts, as it does below.
-    words = F.split("name", " ", -1)
-    heads = edge.join(names.select(F.col("id").alias("child"), "name"), "child").groupBy("subject", "name").agg(F.min(F.struct("ord", "prop", "child")).alias("x"))
-    ways = heads.select("subject", F.col("x.child").alias("child"), F.explode(F.array_distinct(F.array(_front(words), _front(capitalize_tokens(words))))).alias("key"))
+    named = names.join(name_keys(names), "name").select(F.col("id").alias("child"), "name", "keys")
+    heads = edge.join(named, "child").groupBy("subject", "name").agg(F.min(F.struct("ord", "prop", "child")).alias("x"), F.first("keys").alias("keys"))
+    ways = heads.select("subject", F.col("x.child").alias("child"), F.explode("keys").alias("key"))
     ways = written(ways.distinct())
     # What the last pass needs of an entity: its edges, and its names in a row of their own that is always kept.
     spelled = literal_names(full, units)
@@ -338,7 +350,7 @@ def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: Dat
     listed = known.join(names.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), "\n").alias("spelled")), "id", "left")
     hubs = written(full.groupBy("subject").count().where(F.col("count") > hot_degree).select("subject"))
 
-    # Evidence of a document: hashes of those of its words and pairs of words that a name begins with.
+    # Evidence of a document: hashes of those of its words and pairs of words that names are looked up by.
     toks = base.select("doc", "tokens").where("size(tokens) > 0").join(roots, "doc", "left_semi")
     pairs = F.zip_with("tokens", F.slice("tokens", F.lit(2), F.size("tokens")), lambda a, b: F.hash(a, b))
     seen = toks.select("doc", F.explode(F.array_distinct(F.concat(F.transform("tokens", lambda a: F.hash(a)), pairs))).alias("key"))
