@@ -132,7 +132,7 @@ def test_annotator_follows_long_chains(spark):
     assert [(a["id"], a["parent_id"]) for a in got] == [("Q0", ["Q0"])] + [(f"Q{i}", [f"Q{i - 1}"]) for i in range(1, n)]
 
 
-@pytest.mark.parametrize("opt", [annotate.Options()])
+@pytest.mark.parametrize("opt", [annotate.Options(), annotate.Options(cutoff=40, match_aliases=True, unmatch=True, prune_clusters=True)])
 @pytest.mark.parametrize("hot", [50, 1000])
 def test_annotator_reaches_first_owner_of_a_name_only(spark, monkeypatch, opt, hot):
     """A hub has many objects of one name: only the first, the linked and those named in full are reached, and nothing changes by it."""
