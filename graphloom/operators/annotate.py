@@ -27,13 +27,13 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.literals import amount_value, literal_id, plain_dates, written_amounts, written_dates
+from ..functions.literals import MONTHS, SHORT_MONTHS, amount_value, literal_id, plain_dates, written_amounts, written_dates
 from ..functions.text import PRONOUNS, STOP_WORDS, alias_tokens, bad_alias, capitalize_tokens, flatten_tokens, format_wikilink
-from ..session import written
+from ..session import shuffles_freed, written
 from .trie import TokenTrie
 
 ANNOTATION = "array<struct<source:string,id:string,relation:array<string>,parent_id:array<string>,span:array<int>>>"
@@ -71,6 +71,9 @@ class Session:
         self.sources: list[str | None] = [None] * n
         self.story: list[tuple | None] = [None] * n
         self.trie = TokenTrie()
+        #: names with other words can't match; with a cursor that is kept their beginnings count, too
+        self.said = None if opt.legacy else frozenset(tokens)
+        self.words: dict[str, set[str]] = {}
         self.parents: dict[str, set[tuple[str, str]]] = {}
         self.last: dict[str, int] = {}
 
@@ -83,10 +86,15 @@ class Session:
 
     def learn(self, owner: str, source: str | None = None, new_only: bool = False) -> None:
         """Names of ``source`` (or of the owner) from now on match as ``owner``."""
+        said, trie = self.said, self.trie
         for name in self.names.get(source or owner, ()):
-            if not (new_only and self.trie.find(name) is not None):
-                self.trie.add(name, owner)
-                self.trie.add([_capital(name[0]), *name[1:]], owner)
+            first = _capital(name[0])
+            if said is not None and not ((name[0] in said or first in said) and (len(name) == 1 or said.issuperset(name[1:]))):
+                continue
+            if not (new_only and trie.find(name) is not None):
+                trie.add(name, owner)
+                if first != name[0]:
+                    trie.add([first, *name[1:]], owner)
 
     def link(self, entities, nel, clusters, root: str) -> None:
         linked = {root}
@@ -117,11 +125,14 @@ class Session:
         found = self.ids_in(spans)
         if len(found) != 1:
             return []
-        words = {"the", "The", "a", "A", "an", "An", "this", "This", "that", "That"}
-        for name in self.names.get(found.pop(), ()):
-            words.update([*name, _capital(name[0])])
-        said = lambda s: [self.tokens[i] for i in s]
-        return [s for s in spans if (len(s) == 1 and said(s)[0].lower() in PRONOUNS) or set(said(s)) <= words]
+        name = found.pop()
+        words = self.words.get(name)
+        if words is None:
+            words = self.words[name] = {"the", "The", "a", "A", "an", "An", "this", "This", "that", "That"}
+            for n in self.names.get(name, ()):
+                words.update([*n, _capital(n[0])])
+        tokens = self.tokens
+        return [s for s in spans if (len(s) == 1 and tokens[s.start].lower() in _PRONOUNS) or words.issuperset(tokens[s.start : s.stop])]
 
     def expand(self, name: str, at: int) -> None:
         """Brings an entity's neighbours in when it is first mentioned."""
@@ -144,14 +155,18 @@ class Session:
 
     def run(self) -> None:
         i, n = 0, len(self.tokens)
+        legacy, starts = self.opt.legacy, self.trie.root
         while i < n:
             if self.ids[i] is not None:
                 name, end = self.ids[i], i + 1
                 while end < n and self.ids[end] == name:
                     end += 1
             else:
+                if not legacy and self.tokens[i] not in starts:
+                    i += 1
+                    continue
                 end, name = self.trie.longest(self.tokens, i)
-                if not self.opt.legacy:
+                if not legacy:
                     self.trie.reset()
             here, at = range(i, end), end + (end - i)
             i = end
@@ -184,6 +199,7 @@ class Session:
         return out
 
 
+@functools.lru_cache(maxsize=20_000)
 def _capital(word: str) -> str:
     return word[:1].upper() + word[1:].lower()
 
@@ -200,14 +216,17 @@ def annotate_one(tokens, root, entities, nel, clusters, names, edges, opt: Optio
 
 
 def graph_edges(relation: DataFrame, known: DataFrame, same_as: str = "P395") -> DataFrame:
-    """(subject, ord, prop, child, kind): edges to named entities and to literals, up to the first ``same_as`` edge."""
+    """(subject, ord, prop, child, kind, v): edges to entities and to literals, up to the first ``same_as`` edge to a known one.
+
+    Edges to unknown entities are still among them; who looks names up drops them.
+    """
     rows = relation.select("subject", "ord", "prop", F.col("value.type").alias("kind"), F.col("value.value").alias("v")).where("subject IS NOT NULL")
-    ents = rows.where("kind = 'wikibase-entityid'").select("subject", "ord", "prop", F.col("v.id").alias("child"), "kind", "v")
-    ents = ents.join(known.select(F.col("id").alias("child")), "child", "left_semi").select("subject", "ord", "prop", "child", "kind", "v")
+    ents = rows.where("kind = 'wikibase-entityid' AND v.id IS NOT NULL").select("subject", "ord", "prop", F.col("v.id").alias("child"), "kind", "v")
     lits = rows.where("kind IN ('time', 'quantity')").select("subject", "ord", "prop", literal_id(F.col("kind"), F.col("v")).alias("child"), "kind", "v").where("child IS NOT NULL")
-    both = ents.unionByName(lits)
-    stop = both.where(F.col("prop") == same_as).groupBy("subject").agg(F.min("ord").alias("stop"))
-    return both.join(stop, "subject", "left").where(F.coalesce(F.col("ord") <= F.col("stop"), F.lit(True))).drop("stop")
+    same = F.col("prop") == same_as
+    stop = ents.where(same).join(known.select(F.col("id").alias("child")), "child", "left_semi").select("subject", "ord").unionByName(lits.where(same).select("subject", "ord"))
+    stop = written(stop.groupBy("subject").agg(F.min("ord").alias("stop")))
+    return ents.unionByName(lits).join(stop, "subject", "left").where(F.coalesce(F.col("ord") <= F.col("stop"), F.lit(True))).drop("stop")
 
 
 def entity_names(aliases: DataFrame) -> DataFrame:
@@ -223,13 +242,15 @@ def name_keys(names: DataFrame) -> DataFrame:
     """
     words = F.split("name", " ", -1)
     pairs = lambda t: F.when(F.size(t) == 1, F.array(F.hash(F.get(t, F.lit(0)), F.lit(None)))).otherwise(F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.hash(a, b)))
-    held = names.select("name").distinct().select("name", F.posexplode(F.array(pairs(words), pairs(capitalize_tokens(words)))).alias("form", "k")).select("name", "form", F.explode("k").alias("key"))
+    forms = F.array_distinct(F.array(pairs(words), pairs(capitalize_tokens(words))))
+    held = names.select("name").distinct().select("name", F.posexplode(forms).alias("form", "k")).select("name", "form", F.explode("k").alias("key"))
     least = held.join(held.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("name", "form").agg(F.min(F.struct("n", "key"))["key"].alias("key"))
     return least.groupBy("name").agg(F.collect_set("key").alias("keys"))
 
 
 _ASCII = re.compile(r"[A-Za-z0-9]+(?:['.\-][A-Za-z0-9]+)*|[^\sA-Za-z0-9]")
 _STOP = frozenset(STOP_WORDS)
+_PRONOUNS = frozenset(PRONOUNS)
 
 
 @functools.lru_cache(maxsize=20_000)
@@ -275,7 +296,9 @@ def literal_names(edges: DataFrame, units: DataFrame | None = None) -> DataFrame
 
     A literal is written out once, however many edges lead to it.
     """
-    times = edges.where("kind = 'time'").select("child", "v.time", "v.precision").dropDuplicates(["child"]).withColumn("spelled", F.lit(None).cast("string"))
+    times = edges.where("kind = 'time'").select("child", "v.time", "v.precision").dropDuplicates(["child"]).withColumn("easy", easy_date_keys(F.col("time"), F.col("precision")))
+    easy = times.where("easy IS NOT NULL").select("child", F.col("easy").alias("keys"), F.lit(None).cast("string").alias("spelled"))
+    times = times.where("easy IS NULL").select("child", "time", "precision", F.lit(None).cast("string").alias("spelled"))
     q = edges.where("kind = 'quantity'").groupBy("child").agg(F.min(F.struct("v.amount", "v.unit")).alias("v")).select("child", "v.amount", F.regexp_extract("v.unit", r"([^/]*)$", 1).alias("unit"))
     value = amount_value(F.col("amount")).cast("string")
     if units is not None:
@@ -284,7 +307,18 @@ def literal_names(edges: DataFrame, units: DataFrame | None = None) -> DataFrame
     else:
         q = q.select("child", value.alias("spelled"))
     both = times.unionByName(q, allowMissingColumns=True).withColumn("words", _fronts("time", "precision", "spelled"))
-    return both.select("child", F.transform("words", _front).alias("keys"), "spelled")
+    return both.select("child", F.transform("words", _front).alias("keys"), "spelled").unionByName(easy)
+
+
+def easy_date_keys(iso: Column, precision: Column) -> Column:
+    """Hashes of ``date_fronts`` for years from 32 with a month and a day, so most dates need no Python; null for all others."""
+    part = lambda i: F.regexp_extract(iso, r"^[+-]0*([0-9]+)-([0-9]{2})-([0-9]{2})(?=T)", i)
+    year, month, day = part(1), part(2).try_cast("int"), part(3).try_cast("int")
+    said = lambda names: F.get(F.array(*map(F.lit, names)), month - 1)
+    d, long, short = day.cast("string"), said(MONTHS), said(SHORT_MONTHS)
+    days = F.array(F.hash(year), F.hash(d, long), F.hash(d, short), F.hash(long, d), F.hash(short, d), F.hash(F.concat_ws("-", year, part(2), part(3))))
+    clear = (year.try_cast("bigint") >= 32) & month.between(1, 12) & (day >= 1)
+    return F.when(clear & (precision == 11), days).when(clear & (precision < 11), F.array(F.hash(year)))
 
 
 def _front(tokens):
@@ -292,10 +326,6 @@ def _front(tokens):
     return F.hash(F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1)))
 
 
-def _short(x):
-    return (F.pmod(x, F.lit(65536)) - 32768).cast("short")
-
-
 def longest_names(docs: DataFrame, aliases: DataFrame, key: str = "article_id") -> DataFrame:
     """(key, pos, words, id): where names (id, alias) stand in documents (key, flat), the longest at each place.
 
@@ -311,12 +341,14 @@ def longest_names(docs: DataFrame, aliases: DataFrame, key: str = "article_id")
     return runs.join(names, "name").groupBy(key, "pos").agg(F.max("words").alias("words"), F.max_by("id", "words").alias("id"))
 
 
-def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: DataFrame, units: DataFrame | None = None, opt: Options = Options(), key: str = "article_id", hot_degree: int = 1000, hot_rows: int = 200_000) -> DataFrame:
+@shuffles_freed
+def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: DataFrame, units: DataFrame | None = None, opt: Options = Options(), key: str = "article_id", hot_degree: int = 1000, hot_rows: int = 200_000, few_rows: int = 10_000) -> DataFrame:
     """(key, annotations) of documents with title, tokens, entities, nel and clusters; ``key`` must be unique.
 
     Subjects with more than ``hot_degree`` edges are looked up by subject and word together, so the edges of a
     hub are never listed for every document that mentions it; subjects that more than ``hot_rows`` documents
-    reach are spread over several tasks. The graph is followed until nothing new is reached.
+    reach are spread over several tasks. The graph is followed until nothing new is reached; an entity is looked
+    up once for each document that reaches it, and hops of up to ``few_rows`` ids are sent to where the graph is.
     """
     kind = dict(docs.dtypes)[key]
     titles = wiki.groupBy("title").agg(F.min("id").alias("id"))
@@ -324,38 +356,61 @@ def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: Dat
         F.filter(F.coalesce("nel", F.array()), lambda c: (c["score"] >= opt.score) & ~F.isnan(c["score"])),
         lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), format_wikilink(c["label"]).alias("title")),
     )
+    text = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
     base = docs.select(F.col(key).alias("doc"), format_wikilink("title").alias("title"), flatten_tokens("tokens").alias("tokens"), "entities", nel.alias("nel"), "clusters")
+    base = base.select("doc", "title", "tokens", F.transform("entities", lambda e: e["id"]).alias("linked"), F.transform("nel", lambda c: c["title"]).alias("labels"), text("title", "tokens", "entities", "nel", "clusters").alias("text"))
     base = written(base)
     own = F.array(F.struct("title", F.lit(True).alias("own")))
-    asked = base.select("doc", F.explode(F.array_distinct(F.concat(own, F.transform("nel", lambda c: F.struct(c["title"].alias("title"), F.lit(False).alias("own")))))).alias("x")).select("doc", "x.*")
+    asked = base.select("doc", F.explode(F.array_distinct(F.concat(own, F.transform("labels", lambda c: F.struct(c.alias("title"), F.lit(False).alias("own")))))).alias("x")).select("doc", "x.*")
     found = written(asked.where("title IS NOT NULL").join(titles, "title"))
     roots = found.where("own").select("doc")
-    links = base.select("doc", F.explode(F.array_distinct(F.transform("entities", lambda e: e["id"]))).alias("id")).where("id IS NOT NULL")
+    links = base.select("doc", F.explode(F.array_distinct("linked")).alias("id")).where("id IS NOT NULL")
     stamped = written(links.unionByName(found.select("doc", "id")).distinct().join(roots, "doc", "left_semi"))
 
     known = aliases.select("id").distinct()
     full = written(graph_edges(relation, known, opt.same_as))
-    names = written(entity_names(aliases).groupBy("id", "name").agg(F.min("ord").alias("ord")))
-    edge = full.where("kind = 'wikibase-entityid'").select("subject", "ord", "prop", "child").distinct()
-    # How objects are reached: of equal names of a subject's objects the first in order counts, as it does below.
-    named = names.join(name_keys(names), "name").select(F.col("id").alias("child"), "name", "keys")
-    heads = edge.join(named, "child").groupBy("subject", "name").agg(F.min(F.struct("ord", "prop", "child")).alias("x"), F.first("keys").alias("keys"))
-    ways = heads.select("subject", F.col("x.child").alias("child"), F.explode("keys").alias("key"))
-    ways = written(ways.distinct())
-    # What the last pass needs of an entity: its edges, and its names in a row of their own that is always kept.
-    spelled = literal_names(full, units)
-    told = full.where("kind <> 'wikibase-entityid'").select("subject", "ord", "prop", "child").distinct().join(spelled, "child", "left")
-    told = told.select("subject", "ord", "prop", "child", F.coalesce("spelled", F.lit("")).alias("spelled"), F.explode(F.array_append(F.coalesce("keys", F.array().cast("array<int>")), F.hash("child"))).alias("key"))
-    facts = written(edge.select("subject", "ord", "prop", "child", F.lit(None).cast("string").alias("spelled"), F.hash("child").alias("key")).unionByName(told))
-    listed = known.join(names.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), "\n").alias("spelled")), "id", "left")
     hubs = written(full.groupBy("subject").count().where(F.col("count") > hot_degree).select("subject"))
-
-    # Evidence of a document: hashes of those of its words and pairs of words that names are looked up by.
-    toks = base.select("doc", "tokens").where("size(tokens) > 0").join(roots, "doc", "left_semi")
+    some_hubs = not hubs.isEmpty()
+    # What is looked up of an edge's object: its names with their keys, or how a literal is spelled; the object's own id is a key, too.
+    names = written(entity_names(aliases).groupBy("id", "name").agg(F.min("ord").alias("ord")))
+    said = names.join(name_keys(names), "name").groupBy("id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), "\n").alias("names"),
+        F.flatten(F.collect_list(F.transform("keys", lambda k: F.struct("name", k.alias("key"))))).alias("said"),
+    )
+    listed = written(known.join(said, "id", "left"))
+    entity = F.col("kind") == "wikibase-entityid"
+    keyed = lambda keys: F.array_append(F.coalesce(keys, F.array().cast("array<int>")), F.hash("child"))
+    looked = listed.select(F.col("id").alias("child"), F.lit(True).alias("entity"), F.lit(None).cast("string").alias("spelled"), "said")
+    looked = looked.select("child", "entity", "spelled", "said", keyed(F.transform("said", lambda x: x["key"])).alias("keys"))
+    spelled = literal_names(full, units).select("child", F.lit(False).alias("entity"), F.coalesce("spelled", F.lit("")).alias("spelled"), F.lit(None).cast(dict(looked.dtypes)["said"]).alias("said"), keyed(F.col("keys")).alias("keys"))
+    edges = full.select("subject", "ord", "prop", "child", entity.alias("entity")).join(written(looked.unionByName(spelled)), ["child", "entity"]).drop("entity")
+    cold = edges.join(hubs, "subject", "left_anti") if some_hubs else edges
+    # A row per entity: names, edges, and the keys of all edges.
+    cold = cold.groupBy(F.col("subject").alias("id")).agg(F.collect_list(F.struct("ord", "prop", "child", "spelled", "said", "keys")).alias("edges"))
+    nodes = listed.select("id", F.coalesce("names", F.lit("")).alias("names")).join(cold, "id", "left")
+    nodes = written(nodes.select(F.col("id").alias("subject"), "names", "edges", F.array_distinct(F.flatten(F.transform("edges", lambda e: e["keys"]))).alias("keys")))
+    if some_hubs:
+        hot = written(edges.join(hubs, "subject", "left_semi"))
+        ways = hot.select("subject", F.struct("ord", "prop", "child").alias("x"), F.explode("said").alias("s")).groupBy("subject", "s.name", "s.key").agg(F.min("x")["child"].alias("id"))
+        ways = written(ways.select("subject", "key", "id").distinct())
+        keys = F.when(F.col("said").isNull(), F.col("keys")).otherwise(F.array(F.hash("child")))
+        rows = hot.select("subject", F.struct("ord", "prop", "child", "spelled").alias("row"), F.explode(keys).alias("key"))
+        word, bit = (F.shiftrightunsigned("key", 6) % 16384).alias("word"), F.expr("shiftleft(1L, key & 63)")
+        # One bit for all keys that agree in 20 bits: 16,384 words, however many keys there are.
+        marks = F.broadcast(written(ways.select("key").unionByName(rows.select("key")).groupBy(word).agg(F.bit_or(bit).alias("bits"))))
+
+    # Evidence of a document: hashes of its words, of pairs of words, and of the ids it links to.
     pairs = F.zip_with("tokens", F.slice("tokens", F.lit(2), F.size("tokens")), lambda a, b: F.hash(a, b))
-    seen = toks.select("doc", F.explode(F.array_distinct(F.concat(F.transform("tokens", lambda a: F.hash(a)), pairs))).alias("key"))
-    fronts = ways.select("key").unionByName(facts.where("spelled IS NOT NULL").select("key")).distinct()
-    evidence = written(seen.join(fronts, "key", "left_semi").groupBy("doc").agg(F.collect_list("key").alias("held")))
+    seen = base.select("doc", F.concat(F.transform("tokens", lambda a: F.hash(a)), F.when(F.size("tokens") > 0, pairs).otherwise(F.array().cast("array<int>"))).alias("seen"))
+    evidence = written(stamped.groupBy("doc").agg(F.collect_list(F.hash("id")).alias("ids")).join(seen, "doc").select("doc", F.array_distinct(F.concat("ids", "seen")).alias("held")))
+
+    if some_hubs:
+        marked = lambda d: d.withColumn("word", word).join(marks, "word").where(F.col("bits").bitwiseAND(bit) != 0).select("doc", "key")
+        hub_held = written(marked(evidence.select("doc", F.explode("held").alias("key"))))
+
+    def at_hubs(ids: DataFrame, held: DataFrame, table: DataFrame) -> DataFrame:
+        """Rows of the table (subject, key, ...) for those hubs among ids (doc, id) whose keys (doc, key) the documents hold."""
+        return ids.withColumnRenamed("id", "subject").join(hubs, "subject", "left_semi").join(held, "doc").join(table, ["subject", "key"])
 
     def spread(start: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Both with a salt: subjects that more than ``hot_rows`` documents reach go to several tasks."""
@@ -365,69 +420,93 @@ def annotate(docs: DataFrame, wiki: DataFrame, aliases: DataFrame, relation: Dat
         left = start.join(busy, "subject", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), some).cast("int")).drop("salts")
         return left, table.join(busy, "subject", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), some - 1))).drop("salts")
 
-    colder, hotter = ways.join(hubs, "subject", "left_anti"), ways.join(hubs, "subject", "left_semi")
-
-    def reachable(ids: DataFrame) -> DataFrame:
-        """(doc, id) that a document reaches from its ids (doc, id) in one step."""
-        start = ids.withColumnRenamed("id", "subject")
-        left, right = spread(start, colder)
-        near = left.join(evidence, "doc").join(right, ["subject", "salt"]).where(F.array_contains("held", F.col("key")))
-        far = start.join(hubs, "subject", "left_semi").join(evidence, "doc").select("doc", "subject", F.explode("held").alias("key")).join(hotter, ["subject", "key"])
-        return near.select("doc", F.col("child").alias("id")).unionByName(far.select("doc", F.col("child").alias("id"))).distinct()
-
-    # Ids reached from the linked ones, hop by hop, as far as the document's words lead; only ids are kept between hops.
-    frontier, reached = stamped, stamped
+    def kept(at: DataFrame, *more: str) -> DataFrame:
+        """(doc, subject, fact, lead): of the edges in each row those that the document may need, and what they lead to."""
+        at = at.select("doc", "subject", *more, "met", F.when(F.size("met") > 0, F.filter("edges", lambda e: F.arrays_overlap(e["keys"], "met"))).alias("edges"))
+        lead = F.flatten(F.transform(F.filter("edges", lambda e: e["said"].isNotNull()), lambda e: F.transform(F.filter(e["said"], lambda s: F.array_contains("met", s["key"])), lambda s: F.struct(s["name"].alias("name"), e["ord"].alias("ord"), e["prop"].alias("prop"), e["child"].alias("child")))))
+        short = F.transform("edges", lambda e: F.struct(*(e[c].alias(c) for c in ("ord", "prop", "child", "spelled"))))
+        return written(at.select("doc", "subject", F.to_json(F.struct("subject", *more, short.alias("edges"))).alias("fact"), lead.alias("lead")))
+
+    def told(ids: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        """Of n ids (doc, id): (doc, fact) with names and the edges kept, and (doc, subject, lead)."""
+        start, met = ids.withColumnRenamed("id", "subject"), F.array_intersect("keys", "held").alias("met")
+        if n <= few_rows:  # counted, so small
+            proof = evidence.join(F.broadcast(ids.select("doc").distinct()), "doc", "left_semi")
+            hits = kept(F.broadcast(start).join(nodes, "subject").join(proof, "doc").select("doc", "subject", "names", "edges", met), "names")
+            return hits.select("doc", "fact"), hits.select("doc", "subject", "lead")
+
+        def at_nodes(left: DataFrame, n: int, *columns: str) -> DataFrame:
+            right, on = nodes.select("subject", *columns), ["subject"]
+            if n > hot_rows:
+                left, right = spread(left, right)
+                on = ["subject", "salt"]
+            return (F.broadcast(left) if n <= few_rows else left).join(right, on)
+
+        # Edges, much wider than their keys, only go to the documents that hold some key.
+        at = written(at_nodes(start, n, "names", "keys").join(evidence, "doc").select("doc", "subject", "names", met))
+        hits = at.where("size(met) > 0").select("doc", "subject", "met")
+        hits = kept(at_nodes(hits, hits.count(), "edges"))
+        return at.select("doc", F.to_json(F.struct("subject", "names")).alias("fact")).unionByName(hits.select("doc", "fact")), hits.select("doc", "subject", "lead")
+
+    def reachable(ids: DataFrame, leads: DataFrame) -> DataFrame:
+        """(doc, id) that a document reaches from its ids (doc, id) in one step: of equal names of a subject's objects the first in order counts, as it does below."""
+        lead = leads.where("size(lead) > 0").select("doc", "subject", F.explode("lead").alias("x"))
+        near = lead.groupBy("doc", "subject", "x.name").agg(F.min(F.struct("x.ord", "x.prop", "x.child"))["child"].alias("id")).select("doc", "id")
+        if some_hubs:
+            far = at_hubs(ids, hub_held, ways)
+            near = near.unionByName(far.select("doc", "id"))
+        return near.distinct()
+
+    # Ids reached from the linked ones, hop by hop, as far as the document's words lead.
+    frontier, reached, facts = stamped, stamped, None
     # every round adds new (doc, id) only, so this ends, however long a chain is
     for hop in itertools.count(1):
-        frontier = written(reachable(frontier).join(reached, ["doc", "id"], "left_anti"))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if n == 0 and facts is not None:
             break
+        new, leads = told(frontier, n)
+        facts = new if facts is None else facts.unionByName(new)
+        frontier = written(reachable(frontier, leads).join(reached, ["doc", "id"], "left_anti"))
         reached = reached.unionByName(frontier)
-        if hop % 8 == 0:  # else plan and tasks grow with every round
-            reached = written(reached.repartition("doc", "id"))
-    reached = reached.withColumnRenamed("id", "subject")
-    left, right = spread(reached, facts.join(hubs, "subject", "left_anti").unionByName(listed.select(F.col("id").alias("subject"), "spelled"), allowMissingColumns=True))
-    held = reached.groupBy("doc").agg(F.collect_list(F.hash("subject")).alias("ids")).join(evidence, "doc", "left")
-    full_held = held.select("doc", F.concat("ids", F.coalesce("held", F.array().cast("array<int>"))).alias("held"))
-    # sent along with every id of a document, so half of each hash must do
-    held = full_held.select("doc", F.array_distinct(F.transform("held", _short)).alias("held"))
-    row = F.struct("subject", "ord", "prop", "child", "spelled").alias("row")
-    near = left.join(held, "doc").join(right, ["subject", "salt"]).where(F.col("key").isNull() | F.array_contains("held", _short("key"))).select("doc", row)
-    hot = facts.join(hubs, "subject", "left_semi")
-    far = reached.join(hubs, "subject", "left_semi").join(full_held, "doc").select("doc", "subject", F.explode(F.array_distinct("held")).alias("key")).join(hot, ["subject", "key"]).select("doc", row)
-    rows = near.unionByName(far).groupBy("doc").agg(F.collect_set("row").alias("rows"))
-    ids = found.groupBy("doc").agg(F.collect_list(F.struct("title", "id")).alias("ids"))
-    text = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
-    ready = base.select("doc", text("title", "tokens", "entities", "nel", "clusters").alias("text"))  # smaller than its parts
-    ready = ready.join(rows, "doc", "left").join(ids, "doc", "left").select("doc", "text", text("rows", "ids").alias("graph"))
+        if hop % 16 == 0:  # else plan and tasks grow with every round
+            reached, facts = written(reached.repartition("doc", "id")), written(facts)
+    if some_hubs:
+        held = hub_held.unionByName(marked(reached.select("doc", F.hash("id").alias("key")))).distinct()
+        far = at_hubs(reached, held, rows)
+        facts = facts.unionByName(far.groupBy("doc", "subject").agg(F.collect_set("row").alias("edges")).select("doc", F.to_json(F.struct("subject", "edges")).alias("fact")))
+    facts = facts.groupBy("doc").agg(F.concat(F.lit("["), F.array_join(F.collect_list("fact"), ","), F.lit("]")).alias("facts"))
+    ids = found.groupBy("doc").agg(text(F.collect_list(F.struct("title", "id")).alias("ids")).alias("ids"))
+    ready = base.select("doc", "text").join(facts, "doc", "left").join(ids, "doc", "left").select("doc", "text", "facts", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [_annotated(json.loads(x) | json.loads(g), opt) for x, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            out = [_annotated(json.loads(x), json.loads(f or "[]"), json.loads(i)["ids"] if i else [], opt) for x, f, i in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, _ANNOTATION)], names=[key, "annotations"])
 
     return ready.mapInArrow(run, f"{key} {kind}, annotations {ANNOTATION}")
 
 
-def _annotated(r: dict, opt: Options) -> list[dict]:
-    """Annotations of a document with its part of the graph: ids of titles, rows of edges and names."""
-    ids = {x["title"]: x["id"] for x in r["ids"] or []}
+def _annotated(r: dict, facts: list[dict], titles: list[dict], opt: Options) -> list[dict]:
+    """Annotations of a document with its part of the graph: names and edges of entities, ids of titles."""
+    ids = {x["title"]: x["id"] for x in titles}
+    if r["title"] not in ids:
+        return []
     names: dict[str, list[list[str]]] = {}
     edges: dict[str, list] = {}
-    for x in r["rows"] or []:
-        child = x["child"]
-        if child is None:
-            names[x["subject"]] = [n.split(" ") for n in (x["spelled"] or "").split("\n") if n]
-            continue
-        edges.setdefault(x["subject"], []).append((x["ord"], x["prop"], child))
-        # literals have names but are never expanded
-        if child in names or x["spelled"] is None:
-            continue
-        if x["spelled"]:
-            names[child] = amount_names(x["spelled"])
-        else:
-            precision, _, iso = child[3:].partition("::")
-            names[child] = date_names(iso, int(precision))
+    for f in facts:
+        if "names" in f:
+            names[f["subject"]] = [n.split(" ") for n in f["names"].split("\n") if n]
+        for x in f.get("edges", ()):
+            child, spelled = x["child"], x.get("spelled")
+            edges.setdefault(f["subject"], []).append((x.get("ord"), x.get("prop"), child))
+            # literals have names but are never expanded
+            if child in names or spelled is None:
+                continue
+            if spelled:
+                names[child] = amount_names(spelled)
+            else:
+                precision, _, iso = child[3:].partition("::")
+                names[child] = date_names(iso, int(precision))
     # as Spark orders rows: nulls first
     graph = {s: [e[1:] for e in sorted(es, key=lambda e: [(v is not None, v) for v in e])] for s, es in edges.items()}
     tokens = [t if t is not None else "" for t in r["tokens"] or []]

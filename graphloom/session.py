@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,6 +81,26 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffles_freed(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """While ``f`` runs, shuffle files go as soon as the table they were for is written, not when the driver happens to collect its garbage.
+
+    The first argument of ``f`` is a DataFrame, whose session's setting is as before afterwards.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    @functools.wraps(f)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        conf = df.sparkSession.conf
+        before = conf.get(name)
+        conf.set(name, "true")
+        try:
+            return f(df, *args, **kwargs)
+        finally:
+            conf.set(name, before)
+
+    return run
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

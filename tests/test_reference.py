@@ -161,6 +161,49 @@ def test_annotator_reaches_first_owner_of_a_name_only(spark, monkeypatch, opt, h
     assert sum(d.count() for d in sent if d.columns == ["doc", "id"]) <= 6
 
 
+@pytest.mark.parametrize("limits", [{}, {"few_rows": 0}, {"few_rows": 0, "hot_rows": 1}, {"few_rows": 0, "hot_rows": 1, "hot_degree": 1}])
+def test_annotator_looks_entities_up_once(spark, monkeypatch, limits):
+    """Small, large and hot hops tell the same, and no entity's edges come twice for a document."""
+    toks = "Root met Ann , Ann met Bob , Bob met Cy on 26 October 1791 .".split()
+    alias = spark.createDataFrame([("Q0", ["Root"]), ("Q1", ["Ann"]), ("Q2", ["Bob"]), ("Q3", ["Cy"]), ("Q4", ["Dee"])], "id string, aliases array<string>")
+    day = ("time", (None, "+1791-10-26T00:00:00Z", 11, None, None))
+    ent = lambda c: ("wikibase-entityid", (c, None, None, None, None))
+    rel = [("Q0", 0, "P1", ent("Q1")), ("Q0", 1, "P1", ent("Q4")), ("Q1", 0, "P1", ent("Q2")), ("Q1", 1, "P1", ent("Q0")), ("Q2", 0, "P1", ent("Q3")), ("Q3", 0, "P2", day), ("Q3", 1, "P2", ent("Q9"))]
+    relation = spark.createDataFrame(rel, "subject string, ord int, prop string, value struct<type:string,value:struct<id:string,time:string,precision:int,amount:string,unit:string>>")
+    ddl = f"article_id long, title string, tokens array<array<string>>, entities {readers.SPANS}, nel array<struct<score:double,tokens:string,start:int,end:int,label:string>>, clusters {readers.CLUSTERS}"
+    df = spark.createDataFrame([(i, "title 0", [toks], [("Q0", 0, 1)], None, None) for i in range(3)], ddl)
+    sent, write = [], annotate.written
+    monkeypatch.setattr(annotate, "written", lambda d, *by: sent.append(write(d, *by)) or sent[-1])
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    got = annotate.annotate(df, spark.createDataFrame([("Title_0", "Q0")], "title string, id string"), alias, relation, **limits).collect()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    t = "T::11::+1791-10-26T00:00:00Z"
+    for r in got:
+        assert [(a["id"], a["parent_id"]) for a in r["annotations"]] == [("Q0", ["Q0"]), ("Q1", ["Q0"]), ("Q1", ["Q1", "Q0"]), ("Q2", ["Q1"]), ("Q2", ["Q2", "Q1"]), ("Q3", ["Q2"]), (t, ["Q3"])]
+    lists = [d for d in sent if "fact" in d.columns]
+    edges = [(r["doc"], r["subject"], e["child"]) for d in lists for r in d.collect() for e in json.loads(r["fact"]).get("edges", [])]
+    assert lists and len(edges) == len(set(edges)) and not {"Q4", "Q9"} & {c for *_, c in edges}
+
+
+def test_names_outside_the_text_are_left_out():
+    s = annotate.Session(["new", "York", "is", "big"], {"Q1": [["new", "York"], ["new", "Jersey"], ["NEW", "big"], ["Big"], ["IS"]]}, {}, annotate.Options())
+    s.learn("Q1")
+    assert s.trie.find(["new", "York"]) == "Q1" and s.trie.find(["new", "Jersey"]) is None and "NEW" not in s.trie.root and "Big" not in s.trie.root
+    s = annotate.Session(["new"], {"Q1": [["new", "Jersey"]]}, {}, annotate.Options(legacy=True))
+    s.learn("Q1")
+    assert s.trie.find(["new", "Jersey"]) == "Q1"
+
+
+def test_easy_date_keys(spark):
+    """Dates whose keys need no Python have the keys of ``date_fronts``."""
+    dates = [(f"{sign}{y}-{m:02d}-{d:02d}T00:00:00Z", k) for sign in "+-" for y in ("0026", "0032", "1791", "00001791", "12000") for m in (0, 1, 5, 12, 13) for d in (0, 5, 26) for k in (7, 9, 10, 11, 12, None)]
+    df = spark.createDataFrame([(i, k, annotate.date_fronts(i, k)) for i, k in dates], "iso string, k int, fronts array<array<string>>")
+    rows = df.select("iso", "k", annotate.easy_date_keys(F.col("iso"), F.col("k")).alias("got"), F.transform("fronts", annotate._front).alias("want")).collect()
+    assert sum(r["got"] is not None for r in rows) == 2 * 4 * 3 * 2 * 4
+    for r in rows:
+        assert r["got"] is None or set(r["got"]) == set(r["want"])
+
+
 def test_literal_fronts(spark):
     """A text with any spelling of a literal holds the first words of some spelling that is looked for; names are as the shared tokenizer has them."""
     rng = random.Random(5)
